@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, packing, secrets
+from . import bpe, line_dedup, packing, quality, secrets
 from .common import documents
 
 
@@ -27,8 +27,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(documents(spark, sf_dir), min_docs=10)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir)).drop("distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scans, op3_best_fit_packing, op6_byte_bpe, op8_line_dedup)}
+    return {f.__name__: f for f in (op2_secret_scans, op3_best_fit_packing, op6_byte_bpe, op8_line_dedup, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
