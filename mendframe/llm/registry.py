@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, packing, quality, secrets
+from . import bpe, line_dedup, packing, quality, secrets, toxicity
 from .common import documents
 
 
@@ -31,8 +31,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("distance")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scans, op3_best_fit_packing, op6_byte_bpe, op8_line_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scans, op3_best_fit_packing, op6_byte_bpe, op8_line_dedup, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
