@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, line_dedup, minhash, packing, quality, secrets, toxicity
+from . import bpe, embeddings, fmindex, line_dedup, minhash, packing, quality, secrets, toxicity
 from .common import documents
 
 
@@ -23,6 +23,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(documents(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.substring_digest(documents(spark, sf_dir), window=50)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -45,8 +49,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scans, op3_best_fit_packing, op4_embedding_near_dedup, op6_byte_bpe, op7_minhash_near_dedup, op8_line_dedup, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op2_secret_scans, op3_best_fit_packing, op4_embedding_near_dedup, op5_substring_dedup, op6_byte_bpe, op7_minhash_near_dedup, op8_line_dedup, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_near_dedup": embeddings.ORACLE, "op7_minhash_near_dedup": minhash.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op4_embedding_near_dedup": embeddings.ORACLE, "op5_substring_dedup": fmindex.ORACLE, "op7_minhash_near_dedup": minhash.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
