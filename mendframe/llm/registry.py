@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, fmindex, line_dedup, minhash, packing, quality, secrets, toxicity
+from . import bpe, embeddings, fmindex, induced, line_dedup, minhash, packing, quality, secrets, toxicity
 from .common import documents
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return induced.suffix_digest(documents(spark, sf_dir), window=100)
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digest(documents(spark, sf_dir))
 
@@ -49,8 +53,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scans, op3_best_fit_packing, op4_embedding_near_dedup, op5_substring_dedup, op6_byte_bpe, op7_minhash_near_dedup, op8_line_dedup, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_secret_scans, op3_best_fit_packing, op4_embedding_near_dedup, op5_substring_dedup, op6_byte_bpe, op7_minhash_near_dedup, op8_line_dedup, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_near_dedup": embeddings.ORACLE, "op5_substring_dedup": fmindex.ORACLE, "op7_minhash_near_dedup": minhash.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op1_suffix_array_dedup": induced.ORACLE, "op4_embedding_near_dedup": embeddings.ORACLE, "op5_substring_dedup": fmindex.ORACLE, "op7_minhash_near_dedup": minhash.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
