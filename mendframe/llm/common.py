@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +33,24 @@ def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> N
     spark.conf.set(_BATCH_BYTES, size)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they start: its files go to them as one small archive, once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_mendframe_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    held = tempfile.mkdtemp(prefix="mendframe-")  # of the driver; it serves the archive from there
+    atexit.register(shutil.rmtree, held, True)
+    with zipfile.ZipFile(f"{held}/{top.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(f"{held}/{top.name}.zip")
+    sc._mendframe_shipped = True
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with bounded batches."""
+    ship(df.sparkSession)
     bound_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
