@@ -93,7 +93,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     dealt = lines.repartitionByRange("h1", "h2", "doc_id", "th").sortWithinPartitions("h1", "h2", "doc_id", "th", "pos")
     runs = table(map_arrow(dealt, _stream(min_docs), _RUNS), "line-runs")
     total = runs.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n_docs").alias("total")).where(F.col("total") >= min_docs)
-    pending = runs.where("kind = 1").join(total, ["h1", "h2"])
+    # a task has two edges, so total has at most two rows a task, each of some tens of bytes
+    pending = runs.where("kind = 1").join(F.broadcast(total), ["h1", "h2"])
     cols = ["doc_id", "th", "n_lines", "pos", "h1", "h2"]
     gone = runs.where("kind = 0").select(cols).unionByName(pending.select(cols))
     if keep_first:
