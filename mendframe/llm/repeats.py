@@ -71,7 +71,8 @@ def segments(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     n = m - w + 1
     at = (np.minimum(right[:n], left[w - 1 : w - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1]
-    return first, np.diff(np.r_[first, n]), g[at[first]]
+    # the least hashes all begin with zeros; mixed anew they spread over the bitmap
+    return first, np.diff(np.r_[first, n]), mixed(g[at[first]], 21)
 
 
 def _place(anchor: np.ndarray, doc: int, start: np.ndarray) -> np.ndarray:
