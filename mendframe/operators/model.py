@@ -67,8 +67,12 @@ def scored(audits: DataFrame) -> DataFrame:
 
 
 def exploded(audits: DataFrame, *keys: str) -> DataFrame:
-    """A row per finding: the keys (subject by default) and the finding's fields."""
-    return audits.select(*(keys or ("subject",)), F.explode("findings").alias("f")).select(*(keys or ("subject",)), "f.*")
+    """A row per finding: the keys (subject by default) and the finding's fields.
+
+    An inner explode would make Spark test the array below it first, and so work out every finding twice.
+    """
+    keys = keys or ("subject",)
+    return audits.select(*keys, F.explode_outer("findings").alias("f")).where("f is not null").select(*keys, "f.*")
 
 
 def plural(n: int, noun: str) -> str:

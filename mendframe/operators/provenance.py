@@ -15,8 +15,9 @@ from ..functions import cells as C
 from ..functions import values as V
 from . import repair as R
 
-NOTE = "row_key, column, original, value, mode, action, recoverability, note"
-_RANK = F.when(F.col("action") == "unrepairable", 0).when(F.col("action") == "flagged", 1).otherwise(2)
+
+def _rank():
+    return F.when(F.col("action") == "unrepairable", 0).when(F.col("action") == "flagged", 1).otherwise(2)
 
 
 @dataclass
@@ -99,7 +100,7 @@ def write_jsonl(ann: Annotated, path: str) -> str:
 
 def review_queue(ann: Annotated, limit: int = 200) -> DataFrame:
     """The first notes to look at: what can't be repaired, then what was guessed, then repairs; a top-k, not a full sort."""
-    return ann.notes.withColumn("priority", _RANK).orderBy("priority", "column", "row_key").limit(limit)
+    return ann.notes.withColumn("priority", _rank()).orderBy("priority", "column", "row_key").limit(limit)
 
 
 def review_sheet(ann: Annotated, limit: int = 200) -> str:
@@ -113,5 +114,5 @@ def review_sheet(ann: Annotated, limit: int = 200) -> str:
 
 def latest(notes: DataFrame) -> DataFrame:
     """Of several notes of one cell the most serious."""
-    w = Window.partitionBy("row_key", "column").orderBy(_RANK)
+    w = Window.partitionBy("row_key", "column").orderBy(_rank())
     return notes.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
