@@ -141,13 +141,22 @@ def _grow(level: int):
 
 
 def _compare(sig: np.ndarray, n: np.ndarray, forest: Forest, who: np.ndarray, side: np.ndarray | None = None) -> None:
-    """Join the pairs of who whose share of equal values is NEAR at least and whose sizes allow similarity 0.8."""
+    """Join the pairs of who whose share of equal values is NEAR at least and whose sizes allow similarity 0.8.
+
+    In large nodes pairs that are already in one tree are passed over, so a group of alike documents costs one block of comparisons.
+    """
     for s in range(0, len(who), 64):
         own, rest = who[s : s + 64], who[s:]
+        if len(who) > 4 * LEAF:
+            root = forest.roots()
+            if s and (root[rest] == root[rest[0]]).all():
+                return
         size = n[own][:, None], n[rest][None, :]
         fit = (100 * np.minimum(*size) >= 80 * np.maximum(*size)) & (own[:, None] < rest[None, :])
         if side is not None:
             fit &= side[own][:, None] != side[rest][None, :]
+        if len(who) > 4 * LEAF:
+            fit &= root[own][:, None] != root[rest][None, :]
         a, b = np.nonzero(fit)
         for c in range(0, len(a), 50_000):
             i, j = own[a[c : c + 50_000]], rest[b[c : c + 50_000]]
