@@ -74,7 +74,7 @@ def digit_rate(c: Column, tokens: Column) -> Column:
 def char_classes(c: Column) -> Column:
     """map of Unicode category -> rate per 1000 characters, categories that occur only."""
     n = F.length(c).cast("double")
-    rates = F.array(*(F.struct(F.lit(k).alias("key"), (F.regexp_count(c, F.lit(rf"\p{{{k}}}")) / n * 1000).alias("value")) for k in V.CATEGORIES))
+    rates = F.array(*(F.struct(F.lit(k).alias("key"), (F.try_divide(F.regexp_count(c, F.lit(rf"\p{{{k}}}")).cast("double"), n) * 1000).alias("value")) for k in V.CATEGORIES))
     return F.when(n > 0, F.map_from_entries(F.filter(rates, lambda r: r["value"] > 0))).otherwise(F.map_from_entries(F.filter(rates, lambda r: F.lit(False))))
 
 

@@ -23,7 +23,7 @@ def shape_counts(long: DataFrame) -> DataFrame:
 
 def conventions(counts: DataFrame) -> DataFrame:
     """A row per column: m filled cells, the top shape and its share, the number of other shapes and cells."""
-    top = F.min_by("shape", F.struct((-F.col("n")).alias("a"), F.coalesce("first", F.lit(0)).alias("b"), F.col("shape").alias("c")))
+    top = F.min_by("shape", F.struct((-F.col("n")).alias("a"), F.col("first").alias("b"), F.col("shape").alias("c")))
     own = counts.groupBy("col_idx", "column").agg(F.sum("n").alias("m"), F.max("n").alias("top_n"), top.alias("top_shape"), (F.count(F.lit(1)) - 1).alias("others"))
     return own.withColumn("share", F.col("top_n") / F.col("m")).withColumn("breaks", F.col("m") - F.col("top_n"))
 
