@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if len(n) < 2:
         return Model(tuple(sorted(seed.items())))
     counted = map_arrow(once, _count_terms, "term string, a long, n long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
-    best = counted.where((F.col("a") >= MIN_DOCS) & (F.col("a") * (n[0] + n[1]) > 3 * F.col("n") * n[1])).orderBy(F.desc(F.col("a") / F.sqrt("n")), "term").limit(TERMS)
+    best = counted.where((F.col("a") >= MIN_DOCS) & (2 * F.col("a") * (n[0] + n[1]) > 3 * F.col("n") * n[1])).orderBy(F.desc(F.col("a") / F.sqrt("n")), "term").limit(TERMS)
     weights = seed | _lexicon([tuple(r) for r in best.collect()], n[1], n[0])
     model = Model(tuple(sorted(weights.items())))
     x = map_arrow(once, _featured(model), "toxic int, x1 double, x2 double").toPandas()  # SAMPLE rows at most
