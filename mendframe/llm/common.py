@@ -103,7 +103,12 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def words(text: str) -> list[str]:
-    return [w for w in text.translate(FOLD_SPACE).split(" ") if w]
+    if text.isascii():
+        text = text.translate(FOLD_SPACE)
+    else:  # translate is slow beyond ASCII
+        for c in SPACES[1:]:
+            text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
 
 
 def fold_case(c: Column) -> Column:

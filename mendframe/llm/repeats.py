@@ -121,12 +121,13 @@ def _segments(u: Units, bits: np.ndarray):
     return run
 
 
-def _contents(u: Units, wanted: np.ndarray, hot: np.ndarray, anchors: np.ndarray):
-    """Chosen segments with their content; for hot anchors a row for each window instead, with its fingerprint."""
+def _contents(u: Units, wanted: np.ndarray, hot: np.ndarray, anchors: np.ndarray, owners: np.ndarray):
+    """Chosen segments with their content; for hot anchors a row for each window instead, with its fingerprint. Documents outside owners have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "f1", "f2", "doc_id", "start", "n", "off", "w1", "w2", "content"]
         for b in batches:
+            b = b.filter(pa.array(in_bitmap(owners, b.column("owner").to_numpy())))
             rows: list[tuple] = []
             for d, x in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 h, content = u.split(x)
@@ -186,8 +187,8 @@ def repeated_ranges(docs: DataFrame, u: Units, earlier: Callable) -> DataFrame:
     first = table(found.groupBy(key).agg(F.min(F.struct("doc_id", "start", "place")).alias("r")).select(*key, "r.doc_id", "r.start", "r.place"), "first-segments")
     several = table(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     apart = first.join(several.select(F.col("anchor").alias("_a")), F.col("anchor") == F.col("_a"), "left_semi")
-    wanted, hot = bitmap(apart, F.col("place")), bitmap(several.where(F.col("n") > HOT), F.col("anchor"))
-    rows = table(map_arrow(docs, _contents(u, wanted, hot, bits), "anchor long, f1 long, f2 long, doc_id long, start long, n long, off long, w1 long, w2 long, content binary"), "contents")
+    wanted, hot, owners = bitmap(apart, F.col("place")), bitmap(several.where(F.col("n") > HOT), F.col("anchor")), bitmap(apart, F.xxhash64("doc_id"))
+    rows = table(map_arrow(docs.withColumn("owner", F.xxhash64("doc_id")), _contents(u, wanted, hot, bits, owners), "anchor long, f1 long, f2 long, doc_id long, start long, n long, off long, w1 long, w2 long, content binary"), "contents")
     size = rows.where("content is not null").agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("b")).first().b
     shards = max(1, -(-size // SHARD_BYTES))
     cold = rows.where("content is not null").withColumn("shard", F.pmod(F.xxhash64(F.lit(23), "anchor"), F.lit(shards)))
