@@ -7,8 +7,8 @@ sums, so a source that holds a third of all rows only costs its map tasks; what
 scaled so that a group's median is that of chi-square; documents beyond CUTOFF are rejected.
 
 FLOOR is added to each variance, so a rate that is constant in a group (often 0) doesn't reject the first small change. A
-group of under MIN_ROWS judged documents rejects nobody: too little to judge by. Groups of null lang or source are groups of
-their own.
+group of under MIN_ROWS documents that pass the base rules is judged by its language's fit, over all sources; a language of
+under MIN_ROWS by the fit over all rows, however few these are. Groups of null lang or source are groups of their own.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows count each; null ids pass
 through; an empty table gives none; other columns are ignored by ``judge`` and kept by ``keep_good``.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, texts, words
+from .common import map_arrow, same, table, texts, words
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("word_length", "symbol_rate", "dup_lines", "repeats", "upper", "marks")
@@ -32,6 +32,8 @@ P = len(FEATURES)
 #: Least variance of each feature, as squared units of its transform.
 FLOOR = np.array([0.05, 0.15, 0.08, 0.10, 0.05, 0.08]) ** 2
 SHARE, STEPS, MIN_ROWS = 0.75, 3, 100
+#: What names a fit: its level, and the group's language and source as far as the level tells them apart.
+KEYS = ["level", "lang", "source"]
 #: Squared distance, so a distance of 10; rates are far from normal, and clean documents must stay.
 CUTOFF, CHI_MEDIAN = 100.0, 5.348
 #: Words that the rates are shrunk by, as short texts vary more.
@@ -121,18 +123,43 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             means.append(mean.tolist())
             inverses.append(np.linalg.inv(cov).ravel().tolist())
         kind = pa.list_(pa.float64())
-        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("source"), pa.array(means, kind), pa.array(inverses, kind)], ["lang", "source", "mean", "inverse"])
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEYS), pa.array(means, kind), pa.array(inverses, kind)], [*KEYS, "mean", "inverse"])
 
 
 def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows with their group's parameters; null languages and sources match. Spark broadcasts the groups if it has measured them as small."""
-    groups = groups.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    return rows.join(groups, rows.lang.eqNullSafe(groups._lang) & rows.source.eqNullSafe(groups._source), "left").drop("_lang", "_source")
+    """rows with their fit's parameters; null languages and sources match. Spark broadcasts the groups if it has measured them as small."""
+    groups = groups.withColumnsRenamed({k: f"_{k}" for k in KEYS})
+    return rows.join(groups, same(rows, groups, *((k, f"_{k}") for k in KEYS)), "left").drop(*(f"_{k}" for k in KEYS))
+
+
+def _levelled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with the level that judges each: 0 its group, 1 its language, 2 all rows; and the rows that each level's fits are made from.
+
+    level, lang and source name the fit; at level 1 source is null, at level 2 lang too. Only groups of MIN_ROWS and more are joined, never the tail of small ones.
+    """
+    own = rows.withColumnsRenamed({"lang": "_l", "source": "_s"})
+    passed = ~F.col("base_failed")
+    enough = lambda *by: table(rows.where(passed).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS).select(*by), "levels")
+    groups, langs = enough("lang", "source").withColumn("_g", F.lit(True)), enough("lang").withColumn("_h", F.lit(True))
+    marked = own.join(groups, same(own, groups, ("_l", "lang"), ("_s", "source")), "left").drop("lang", "source")
+    marked = marked.join(langs, same(marked, langs, ("_l", "lang")), "left").drop("lang")
+    marked = marked.withColumn("level", F.when(F.col("_g"), 0).when(F.col("_h"), 1).otherwise(2)).drop("_g", "_h")
+    marked = table(marked, "levelled")
+    names = [F.when(F.col("level") < 2, F.col("_l")).alias("lang"), F.when(F.col("level") < 1, F.col("_s")).alias("source")]
+    # a language that no small group looks to needs no fit of its own, nor do all rows if no language is small
+    looked = table(marked.where(passed & (F.col("level") > 0)).groupBy("level", F.when(F.col("level") < 2, F.col("_l")).alias("lang")).agg(F.count(F.lit(1)).alias("n")), "looked").drop("n")
+    good = marked.where(passed)
+    some = looked.where("level = 1").withColumnRenamed("lang", "_lang").drop("level")
+    parts = [good.where("level = 0"), good.join(some, same(good, some, ("_l", "_lang")), "left_semi").withColumn("level", F.lit(1))]
+    if looked.where("level = 2").limit(1).count():
+        parts.append(good.withColumn("level", F.lit(2)))
+    fits = reduce(DataFrame.unionByName, (p.select(*KEYS[:1], *names, *(f"x{i}" for i in range(P))) for p in parts))
+    return marked.select("*", *names).drop("_l", "_s"), table(fits, "fits")
 
 
 def robust_fit(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """lang, source, n, mean, inverse, scale: each group's location, inverse scatter, and what makes its median distance chi-square's."""
-    keys = ["lang", "source"]
+    """level, lang, source, n, mean, inverse, scale: each group's location, inverse scatter, and what makes its median distance chi-square's."""
+    keys = KEYS
     mid = rows.groupBy(keys).agg(F.count(F.lit(1)).alias("n"), F.array(*(F.percentile_approx(f"x{i}", 0.5, 1000) for i in range(P))).alias("mean"))
     off = _with(rows, mid.select(*keys, "mean")).groupBy(keys).agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col("mean")[i]), 0.5, 1000).alias(f"m{i}") for i in range(P)))
     unit = lambda i, j: 1 / (F.pow(1.4826 * F.col(f"m{i}"), 2) + float(FLOOR[i])) if i == j else F.lit(0.0)
@@ -144,7 +171,7 @@ def robust_fit(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         kept = _with(far, near).where("d2 <= most")
         sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
         moments = kept.groupBy(keys).agg(F.count(F.lit(1)).alias("n"), *sums)
-        new = map_arrow(moments, _invert, "lang string, source string, mean array<double>, inverse array<double>")
+        new = map_arrow(moments, _invert, "level int, lang string, source string, mean array<double>, inverse array<double>")
         fit = table(_with(fit.select(*keys, "n"), new), "mcd")
     far = _with(rows, fit.select(*keys, "mean", "inverse")).withColumn("d2", _distance(F.col("mean"), F.col("inverse")))
     scale = far.groupBy(keys).agg((F.percentile_approx("d2", 0.5, 1000) / CHI_MEDIAN).alias("scale"))
@@ -152,15 +179,14 @@ def robust_fit(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 
 
 def judge(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, distance (null where the base failed or the group is too small to judge by)."""
+    """doc_id, the counts, base_failed, kept, distance (null where the base failed)."""
     stats = table(statistics(docs), "quality")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     marked = stats.withColumn("base_failed", base)
-    fit = robust_fit(marked.where("not base_failed"))
-    far = _with(marked, fit)
-    judged = ~F.col("base_failed") & (F.col("n") >= MIN_ROWS)
+    levelled, rows = _levelled(marked)
+    far = _with(levelled, robust_fit(rows))
     # a scale under 1 would only sharpen groups whose spread is all floor
-    distance = F.when(judged, _distance(F.col("mean"), F.col("inverse")) / F.greatest("scale", F.lit(1.0)))
+    distance = F.when(~F.col("base_failed"), _distance(F.col("mean"), F.col("inverse")) / F.greatest("scale", F.lit(1.0)))
     kept = ~F.col("base_failed") & F.coalesce(distance <= cutoff, F.lit(True))
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), distance.alias("distance"))
 

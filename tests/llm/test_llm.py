@@ -295,6 +295,19 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert 150 not in kept and len(kept) >= 148
 
 
+def test_quality_judges_small_groups(spark):
+    rng = random.Random(14)
+    clean = lambda: ". ".join(prose(rng, rng.randrange(8, 15)) for _ in range(rng.randrange(6, 12)))
+    junk = lambda: " ".join(f"{rng.randrange(9)}#$%|<>*&" for _ in range(90))
+    rows = [(clean(), "en", "web") for _ in range(150)] + [(clean(), "en", f"s{i % 9}") for i in range(45)] + [(clean(), "xx", None) for _ in range(20)]
+    rows += [(junk(), "en", "s3"), (junk(), "en", "alone"), (junk(), "xx", None), (junk(), None, "rare"), (junk(), "en", "web")]
+    for part in (rows, rows[150:]):  # the second has no group and no language of MIN_ROWS: all are judged by all
+        df = spark.createDataFrame([(i, *x) for i, x in enumerate(part)], "doc_id long, text string, lang string, source string")
+        got = {r.doc_id: r for r in quality.judge(df).collect()}
+        assert len(got) == len(part) and all(r.base_failed or r.distance is not None for r in got.values())
+        assert {i for i, r in got.items() if not r.kept and not r.base_failed} == {i for i, x in enumerate(part) if "#" in x[0]}
+
+
 def test_op10_toxicity(spark):
     assert toxicity.fold("Y0u are an id1ot").split() == ["you", "are", "an", "idiot"] and "idiot" in toxicity.fold("іdіоt")
     rng = random.Random(12)
