@@ -20,6 +20,7 @@ left unlinked; rows with one id count as one document in links, and each row is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .common import FOLD_SPACE, map_arrow, same, table, texts
 from .streams import Forest, bitmap, components, in_bitmap, mixed, runs
 
 T, TREES, PICK, LEAF, NODE, DEPTH, BLOCK, NEAR, SEED = 128, 4, 2, 64, 20_000, 6, 1024, 0.67, 42
+#: Words of a shingle and similarity in percent, where no other rule is given.
+WIDTH, PERCENT = 2, 80
 WORDS = 500_000
 
 
@@ -85,19 +88,36 @@ def minwise(values: np.ndarray) -> np.ndarray:
     return (mixed(best, 3) >> np.uint64(32)).astype(np.uint32)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def near_share(percent: int) -> float:
+    """The share of equal minwise values from which a pair is compared: 3.68 deviations under the similarity; NEAR at 80 percent."""
+    t = percent / 100
+    return NEAR if percent == PERCENT else max(0.0, t - 3.68 * (t * (1 - t) / T) ** 0.5)
 
-    for b in batches:
-        n, d1, d2, sigs = [], [], [], []
-        for x in texts(b):
-            s = shingles(x)
-            d = xxhash.xxh3_128_intdigest(s.tobytes())
-            n.append(len(s))
-            d1.append((d >> 64) - 2**63)
-            d2.append((d & (2**64 - 1)) - 2**63)
-            sigs.append(minwise(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v, pa.int64()) for v in (n, d1, d2)), pa.array(sigs, pa.binary())], ["doc_id", "n", "d1", "d2", "sig"])
+
+def trees_for(percent: int) -> int:
+    """Trees that miss a pair at this similarity with about 10^-5: TREES at 80 percent."""
+    kept = 1.0
+    for _ in range(3):
+        kept = 1 - (1 - percent / 100 * kept) ** PICK
+    return TREES if percent == PERCENT else max(1, int(np.ceil(np.log(1.3e-5) / np.log(max(1 - kept, 1e-9)))))
+
+
+def _sketch(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            n, d1, d2, sigs = [], [], [], []
+            for x in texts(b):
+                s = shingles(x, width)
+                d = xxhash.xxh3_128_intdigest(s.tobytes())
+                n.append(len(s))
+                d1.append((d >> 64) - 2**63)
+                d2.append((d & (2**64 - 1)) - 2**63)
+                sigs.append(minwise(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v, pa.int64()) for v in (n, d1, d2)), pa.array(sigs, pa.binary())], ["doc_id", "n", "d1", "d2", "sig"])
+
+    return run
 
 
 def _branch(path: np.ndarray, level: int) -> np.ndarray:
@@ -140,11 +160,12 @@ def _grow(level: int):
     return run
 
 
-def _compare(sig: np.ndarray, n: np.ndarray, forest: Forest, who: np.ndarray, side: np.ndarray | None = None) -> None:
-    """Join the pairs of who whose share of equal values is NEAR at least and whose sizes allow similarity 0.8.
+def _compare(sig: np.ndarray, n: np.ndarray, forest: Forest, who: np.ndarray, percent: int, side: np.ndarray | None = None) -> None:
+    """Join the pairs of who whose share of equal values is near_share at least and whose sizes allow the similarity.
 
     In large nodes pairs that are already in one tree are passed over, so a group of alike documents costs one block of comparisons.
     """
+    near = near_share(percent) * T
     for s in range(0, len(who), 64):
         own, rest = who[s : s + 64], who[s:]
         if len(who) > 4 * LEAF:
@@ -152,7 +173,7 @@ def _compare(sig: np.ndarray, n: np.ndarray, forest: Forest, who: np.ndarray, si
             if s and (root[rest] == root[rest[0]]).all():
                 return
         size = n[own][:, None], n[rest][None, :]
-        fit = (100 * np.minimum(*size) >= 80 * np.maximum(*size)) & (own[:, None] < rest[None, :])
+        fit = (100 * np.minimum(*size) >= percent * np.maximum(*size)) & (own[:, None] < rest[None, :])
         if side is not None:
             fit &= side[own][:, None] != side[rest][None, :]
         if len(who) > 4 * LEAF:
@@ -160,12 +181,12 @@ def _compare(sig: np.ndarray, n: np.ndarray, forest: Forest, who: np.ndarray, si
         a, b = np.nonzero(fit)
         for c in range(0, len(a), 50_000):
             i, j = own[a[c : c + 50_000]], rest[b[c : c + 50_000]]
-            hit = (sig[i] == sig[j]).sum(axis=1) >= NEAR * T
+            hit = (sig[i] == sig[j]).sum(axis=1) >= near
             for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
                 forest.join(x, y)
 
 
-def _descend(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def _descend(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     """A node that fits a task: branch on until nodes are small, compare, and send its forest."""
     ids, n = t.column("doc_id").to_numpy(), t.column("n").to_numpy()
     order = np.argsort(ids, kind="stable")
@@ -176,7 +197,7 @@ def _descend(t: pa.Table) -> Iterator[pa.RecordBatch]:
     while stack:
         who, path, depth = stack.pop()
         if len(who) <= LEAF or depth >= DEPTH:
-            _compare(sig, n, forest, who)
+            _compare(sig, n, forest, who, percent)
             continue
         at = _branch(np.array([path], np.uint64), 50 + depth)
         for k in range(PICK):
@@ -198,13 +219,13 @@ def _forest_edges(ids: np.ndarray, forest: Forest) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["a", "b"])
 
 
-def _blocks(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def _blocks(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     """Two blocks of a node that stayed large: compare all of one with all of the other."""
     ids, n, side = (t.column(c).to_numpy() for c in ("doc_id", "n", "side"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, T)
     order = np.argsort(ids, kind="stable")
     forest = Forest(len(ids))
-    _compare(sig[order], n[order], forest, np.arange(len(ids)), side[order] if t.column("i")[0] != t.column("j")[0] else None)
+    _compare(sig[order], n[order], forest, np.arange(len(ids)), percent, side[order] if t.column("i")[0] != t.column("j")[0] else None)
     yield from _forest_edges(ids[order], forest)
 
 
@@ -216,8 +237,8 @@ def paired(df: DataFrame, key: str, sizes: DataFrame, by: str, block: int) -> Da
     return placed.withColumn("i", F.least("side", "_other")).withColumn("j", F.greatest("side", "_other")).drop("_k", "_blocks", "_other")
 
 
-def candidates(sets: DataFrame, trees: int = TREES) -> DataFrame:
-    """Forest edges (a, b) over sets(doc_id, n, sig) that hold, with high probability, every pair of similarity 0.8 or more in one component."""
+def candidates(sets: DataFrame, trees: int = TREES, percent: int = PERCENT) -> DataFrame:
+    """Forest edges (a, b) over sets(doc_id, n, sig) that hold, with high probability, every pair of that similarity or more in one component."""
     kind = "node long, doc_id long, n long, sig binary"
     level, now, out = 0, map_arrow(sets.select("doc_id", "n", "sig"), _plant(trees), kind), None
     add = lambda x: x if out is None else out.unionByName(x)
@@ -226,18 +247,18 @@ def candidates(sets: DataFrame, trees: int = TREES) -> DataFrame:
         some = large.limit(1).count() > 0
         hot = large.select(F.col("node").alias("_node"))
         fit = now.join(hot, F.col("node") == F.col("_node"), "left_anti") if some else now
-        out = add(runs(fit, ["node"], _descend, "a long, b long", least=2))
+        out = add(runs(fit, ["node"], partial(_descend, percent=percent), "a long, b long", least=2))
         if not some:
             return out
         rest = now.join(hot, F.col("node") == F.col("_node"), "left_semi")
         if level >= DEPTH:
             cut = paired(rest, "node", large.select("node", F.col("n_node").alias("n")), "doc_id", NODE // 4)
-            return add(runs(cut, ["node", "i", "j"], _blocks, "a long, b long", least=2))
+            return add(runs(cut, ["node", "i", "j"], partial(_blocks, percent=percent), "a long, b long", least=2))
         level += 1
         now = map_arrow(table(rest, "large"), _grow(level), kind)
 
 
-def _confirm(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def _confirm(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     """Exact links within a group (or between two of its blocks), as a forest."""
     ids, side = t.column("doc_id").to_numpy(), t.column("side").to_numpy()
     order = np.argsort(ids, kind="stable")
@@ -251,14 +272,14 @@ def _confirm(t: pa.Table) -> Iterator[pa.RecordBatch]:
     found = []
     for s in range(0, len(ids), 64):
         own, rest = np.arange(s, min(s + 64, len(ids))), np.arange(s, len(ids))
-        fit = (100 * np.minimum(n[own][:, None], n[rest][None, :]) >= 80 * np.maximum(n[own][:, None], n[rest][None, :])) & (own[:, None] < rest[None, :])
+        fit = (100 * np.minimum(n[own][:, None], n[rest][None, :]) >= percent * np.maximum(n[own][:, None], n[rest][None, :])) & (own[:, None] < rest[None, :])
         if cross:
             fit &= side[own][:, None] != side[rest][None, :]
         a, b = np.nonzero(fit)
         for c in range(0, len(a), 50_000):
             i, j = own[a[c : c + 50_000]], rest[b[c : c + 50_000]]
             share = (sig[i] == sig[j]).sum(axis=1)
-            hit = share >= NEAR * T
+            hit = share >= near_share(percent) * T
             found.append((share[hit], i[hit], j[hit]))
     if not found:
         return
@@ -272,12 +293,12 @@ def _confirm(t: pa.Table) -> Iterator[pa.RecordBatch]:
         for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
             if forest.root(i) != forest.root(j):
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                     forest.join(i, j)
     yield from _forest_edges(ids, forest)
 
 
-def _full(bits: np.ndarray):
+def _full(bits: np.ndarray, width: int):
     """doc_id, values: the sets of the documents whose id's hash is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,26 +306,27 @@ def _full(bits: np.ndarray):
             at = np.flatnonzero(in_bitmap(bits, b.column("h").to_numpy()))
             if len(at):
                 b = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(x).tobytes() for x in texts(b)], pa.binary())], ["doc_id", "values"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(x, width).tobytes() for x in texts(b)], pa.binary())], ["doc_id", "values"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, trees: int = TREES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
+def near_duplicates(docs: DataFrame, trees: int | None = None, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text): width-word shingles, linked from percent similarity on."""
+    trees = trees or trees_for(percent)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = table(map_arrow(own, _sketch, "doc_id long, n long, d1 long, d2 long, sig binary"), "sketches")
+    sketches = table(map_arrow(own, _sketch(width), "doc_id long, n long, d1 long, d2 long, sig binary"), "sketches")
     able = sketches.where("n > 0 and doc_id is not null")
     reps = table(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "set-reps")
     heads = able.join(reps.select(F.col("rep"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("doc_id") == F.col("rep")))
     heads = table(heads.select("doc_id", "n", "sig").dropDuplicates(["doc_id"]), "heads")
-    groups = components(table(candidates(heads, trees), "near"))
+    groups = components(table(candidates(heads, trees, percent), "near"))
     groups = table(groups.unionByName(groups.select(F.col("component_id").alias("id"), "component_id").distinct()), "groups")
     bits = bitmap(groups, F.xxhash64("id"))
-    full = map_arrow(own.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").where("doc_id is not null"), _full(bits), "doc_id long, values binary")
+    full = map_arrow(own.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").where("doc_id is not null"), _full(bits, width), "doc_id long, values binary")
     full = full.join(groups, F.col("doc_id") == F.col("id")).select(F.col("component_id").alias("grp"), "doc_id", "values").dropDuplicates(["doc_id"])
     sizes = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("component_id").alias("grp"), "n")
-    links = table(runs(paired(full, "grp", sizes, "doc_id", BLOCK), ["grp", "i", "j"], _confirm, "a long, b long", least=2), "links")
+    links = table(runs(paired(full, "grp", sizes, "doc_id", BLOCK), ["grp", "i", "j"], partial(_confirm, percent=percent), "a long, b long", least=2), "links")
     # equal sets are linked too: under one id, or through their first document
     copies = able.join(reps.select("rep", F.col("d1").alias("e1"), F.col("d2").alias("e2")), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(copies))
@@ -313,9 +335,9 @@ def near_duplicates(docs: DataFrame, trees: int = TREES) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame, trees: int = TREES) -> DataFrame:
+def keep_first(docs: DataFrame, trees: int | None = None, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs without the documents that near-duplicate an earlier one; all columns."""
-    gone = near_duplicates(docs, trees).where("not kept").select(F.col("doc_id").alias("_mf_doc")).distinct()
+    gone = near_duplicates(docs, trees, width, percent).where("not kept").select(F.col("doc_id").alias("_mf_doc")).distinct()
     left = docs.withColumn("_mf_key", F.col("doc_id").cast("long"))
     return left.join(gone, same(left, gone, ("_mf_key", "_mf_doc")), "left_anti").drop("_mf_key")
 

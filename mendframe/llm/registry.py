@@ -36,7 +36,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir))
+    return minhash.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from mendframe.llm import minhash
 
 
 def corpus(spark):
@@ -31,3 +32,15 @@ def test_stages(spark, tmp_path):
     for r in packed:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert max(fill.values()) <= 2048
+
+
+def test_near_duplicates_take_five_words(spark):
+    """Pairs that differ in k spread words of 100: k = 4 is near by two-word shingles only, k = 1 by five-word ones too."""
+    rng = random.Random(22)
+    items = []
+    for k in (4, 1):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(100)]
+        items += [" ".join(base), " ".join(f"changed{i}" if i % 20 == 10 and i < 20 * k else w for i, w in enumerate(base))]
+    docs = spark.createDataFrame([(i, x, "en", "web", len(x)) for i, x in enumerate(items)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in minhash.keep_first(docs, width=2).collect()) == [0, 2]
