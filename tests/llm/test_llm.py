@@ -166,6 +166,33 @@ def test_best_fit_is_longest_first():
     assert (~done).sum() <= packing.CARRY
 
 
+def test_packing_plan_is_best_fit():
+    rng = np.random.default_rng(6)
+    for size, most, n in ((10, 10, 40), (64, 64, 500), (64, 9, 500), (2048, 2048, 3000), (2048, 700, 3000), (5, 5, 0)):
+        lengths = rng.integers(1, most + 1, n)
+        rows, total = packing.plan(np.bincount(lengths, minlength=size + 1), size)
+        _, _, fill = packing.best_fit(lengths, size)
+        spots, at = [[] for _ in range(total)], defaultdict(int)
+        for x in lengths.tolist():
+            i = at[x]
+            at[x] += 1
+            _, first, b, each, off = max(r for r in rows.tolist() if r[0] == x and r[1] <= i)
+            spots[b + (i - first) // each].append((off + (i - first) % each * x, x))
+        for own in spots:
+            own.sort()
+            assert own and all(p + x == q for (p, x), (q, _) in zip(own, own[1:], strict=False)) and own[0][0] == 0
+        assert sorted(sum(x for _, x in own) for own in spots) == sorted(fill.tolist())
+
+
+def test_op3_pieces_of_all_tasks_meet(spark):
+    """More long pieces in one task than CARRY, each alone in its sequence, and the short pieces that fit them in another."""
+    n = packing.CARRY + 900
+    docs = spark.createDataFrame([(i, "a " * (4 if i < n else 2)) for i in range(2 * n)], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=8).collect()
+    assert len(rows) == 2 * n and {r.length for r in rows} == {3, 5}
+    assert len({r.sequence_id for r in rows}) == n
+
+
 def test_op4_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))
