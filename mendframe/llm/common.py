@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 #: Bytes that separate words, as a class of Python and Java patterns.
 WORD = r"[^\x20\x09-\x0D]+"
 #: What ends a word, for str.translate and str.split.
@@ -33,21 +32,6 @@ def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> N
     spark.conf.set(_BATCH_BYTES, size)
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they start: its files go to them as one small archive, once a session."""
-    sc = spark.sparkContext
-    if getattr(sc, "_mendframe_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    held = tempfile.mkdtemp(prefix="mendframe-")  # of the driver; it serves the archive from there
-    atexit.register(shutil.rmtree, held, True)
-    with zipfile.ZipFile(f"{held}/{top.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(f"{held}/{top.name}.zip")
-    sc._mendframe_shipped = True
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with bounded batches."""
     ship(df.sparkSession)
@@ -66,12 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Paths of the tables made so far, deleted at the interpreter's exit or by drop_tables().
+_MADE: list[str] = []
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_tables(spark: SparkSession, *dfs: DataFrame) -> None:
+    """Delete the tables behind dfs, or all that table() has made: for long sessions, once the results that read them are written."""
+    own = [p for p in _MADE if any(f"{p.rpartition('/')[2]}/" in f for d in dfs for f in d.inputFiles())] if dfs else _MADE[:]
+    for path in own:
+        _delete(spark, path)
+        _MADE.remove(path)
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit
+        drop_tables(spark)
+    except Exception:  # noqa: BLE001 - the session is gone; the folder is its owner's to clear
         return
 
 
@@ -80,10 +80,35 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mendframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    if not _MADE:
+        atexit.register(_drop_at_exit, spark)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of verdicts that may go to every executor.
+SENT_BYTES = 32 << 20
+
+
+def sent(verdicts: DataFrame, name: str, width: Column | int = 16) -> DataFrame:
+    """verdicts as a table. Its bytes (width a row) are measured: SENT_BYTES at most are broadcast, so texts stay where they are; more are joined by a shuffle."""
+    own = table(verdicts, name)
+    size = own.agg(F.sum(width if isinstance(width, Column) else F.lit(width)).alias("b")).first().b or 0
+    return F.broadcast(own) if size <= SENT_BYTES else own
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """names with as many underscores before them as it takes to clash with no column of df."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in held:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

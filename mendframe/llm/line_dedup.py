@@ -3,7 +3,7 @@
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased; lines whose key is empty always stay.
 Keys found in at least ``min_docs`` documents lose their lines; with ``keep_first`` each such key keeps its first line
 (smallest document, then position). The result is a compressed keep bitmap for each document that loses lines; texts
-never move until :func:`apply_bitmaps`.
+don't move, and neither do they in :func:`apply_bitmaps` unless the bitmaps are over SENT_BYTES.
 
 Rows are dealt by range of (hash, document), so a line that a third of all documents share spreads over many tasks. A
 run of equal hashes that touches a task's first or last row may go on in a neighbour; such runs report a count each, the
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fold_case, map_arrow, same, table
+from .common import SPACES, free, map_arrow, same, sent, table, texts
 
 _RUNS = "kind int, doc_id long, th long, n_lines int, pos int, h1 long, h2 long, n_docs long"
 
@@ -59,37 +59,56 @@ def _stream(min_docs: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, first = None, True
+        held, first = [], True  # held: the rows of the run that goes on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            h1, h2 = t.column("h1").to_numpy(), t.column("h2").to_numpy()
-            cut = np.flatnonzero((h1 != h1[-1]) | (h2 != h2[-1]))
+            h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+            if held and (h1[0], h2[0]) == last and (h1[-1], h2[-1]) == last:
+                held.append(batch)
+                continue
+            t = pa.Table.from_batches([*held, batch])
+            a, b = t.column("h1").to_numpy(), t.column("h2").to_numpy()
+            last = (h1[-1], h2[-1])
+            cut = np.flatnonzero((a != last[0]) | (b != last[1]))
             at = int(cut[-1]) + 1 if len(cut) else 0
             if at:
                 if (out := settle(t.slice(0, at), first, False)) is not None:
                     yield from out.to_batches()
                 first = False
-            rest = t.slice(at)
-        if rest is not None and (out := settle(rest, first, True)) is not None:
+            held = t.slice(at).to_batches()
+        if held and (out := settle(pa.Table.from_batches(held), first, True)) is not None:
             yield from out.to_batches()
 
     return run
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line with a key: its place, and the 128-bit hash of the key. Bytes fold A-Z only."""
+    import xxhash
+
+    blank = SPACES.encode()
+    for b in batches:
+        count, lines, pos, prints = [], [], [], []
+        for x in texts(b):
+            parts = [p.strip(blank) for p in x.encode().lower().split(b"\n")]
+            own = [k for k, p in enumerate(parts) if p]
+            pos += own
+            prints += [xxhash.xxh3_128_digest(parts[k]) for k in own]
+            count.append(len(own))
+            lines.append(len(parts))
+        h = np.frombuffer(b"".join(prints), ">i8").astype(np.int64).reshape(-1, 2)
+        at = pa.array(np.repeat(np.arange(len(count)), count))
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id").take(at), b.column("th").take(at), pa.array(np.repeat(lines, count).astype(np.int32)), pa.array(pos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])],
+            ["doc_id", "th", "n_lines", "pos", "h1", "h2"],
+        )
+
+
 def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
     """(doc_id, th, n_lines, n_dropped, keep): for each document that loses lines; keep is a zlib bitmap, bit i of line i."""
-    key = fold_case(F.btrim(F.col("x"), F.lit(SPACES)))
-    lines = (
-        docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-        .select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("parts"))
-        .select("doc_id", "th", F.size("parts").alias("n_lines"), F.posexplode("parts").alias("pos", "x"))
-        .select("doc_id", "th", "n_lines", "pos", key.alias("k"))
-        .where("k <> ''")
-        .select("doc_id", "th", "n_lines", "pos", F.xxhash64(F.lit(11), "k").alias("h1"), F.xxhash64(F.lit(47), "k").alias("h2"))
-    )
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    lines = map_arrow(own, _hashed, "doc_id long, th long, n_lines int, pos int, h1 long, h2 long")
     dealt = lines.repartitionByRange("h1", "h2", "doc_id", "th").sortWithinPartitions("h1", "h2", "doc_id", "th", "pos")
     runs = table(map_arrow(dealt, _stream(min_docs), _RUNS), "line-runs")
     total = runs.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n_docs").alias("total")).where(F.col("total") >= min_docs)
@@ -123,20 +142,23 @@ def _kept(text: str, keep: bytes | None) -> str:
     return "\n".join(x for x, on in zip(parts, bits.tolist(), strict=True) if on)
 
 
-def _join(docs: DataFrame, maps: DataFrame) -> DataFrame:
-    maps = maps.select(F.col("doc_id").alias("_mf_doc"), F.col("th").alias("_mf_th"), F.col("n_dropped").alias("_mf_dropped"), F.col("keep").alias("_mf_keep"))
-    docs = docs.withColumn("_mf_key", F.col("doc_id").cast("long")).withColumn("_mf_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return docs.join(maps, same(docs, maps, ("_mf_key", "_mf_doc"), ("_mf_hash", "_mf_th")), "left").drop("_mf_doc", "_mf_th", "_mf_key", "_mf_hash")
+def _join(docs: DataFrame, maps: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with each row's bitmap and count of dropped lines (null: none), and the names of these two columns. Bitmaps of SENT_BYTES at most go to the texts; only larger ones make texts move."""
+    d, h, dropped, keep, key, own = free(docs, "doc", "th", "dropped", "keep", "key", "hash")
+    maps = sent(maps, "bitmaps", F.length("keep") + 48).select(F.col("doc_id").alias(d), F.col("th").alias(h), F.col("n_dropped").alias(dropped), F.col("keep").alias(keep))
+    names = docs.columns
+    docs = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.join(maps, same(docs, maps, (key, d), (own, h)), "left").select(*names, dropped, keep), dropped, keep
 
 
 def apply_bitmaps(docs: DataFrame, maps: DataFrame) -> DataFrame:
     """docs with the lines gone that maps drop; every row and column stays, and a document that loses all lines is ''."""
     names = docs.columns
-    joined = _join(docs, maps).select(*names, "_mf_keep")
+    joined, _, keep = _join(docs, maps)
 
     def run(batches):
         for b in batches:
-            t = [None if x is None and k is None else _kept(x or "", k) for x, k in zip(b.column("text").to_pylist(), b.column("_mf_keep").to_pylist(), strict=True)]
+            t = [None if x is None and k is None else _kept(x or "", k) for x, k in zip(b.column("text").to_pylist(), b.column(keep).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()) if c == "text" else b.column(c) for c in names], names)
 
     return map_arrow(joined, run, docs.schema)
@@ -149,16 +171,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -
 
 def line_digest(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of the lines that stay."""
-    joined = _join(docs.select("doc_id", "text"), line_bitmaps(docs, min_docs))
+    joined, dropped, keep = _join(docs.select("doc_id", "text"), line_bitmaps(docs, min_docs))
 
     def run(batches):
         for b in batches:
             lines, sums = [], []
-            for x, k in zip(b.column("text").to_pylist(), b.column("_mf_keep").to_pylist(), strict=True):
+            for x, k in zip(b.column("text").to_pylist(), b.column(keep).to_pylist(), strict=True):
                 x = x or ""
                 lines.append(x.count("\n") + 1)
                 sums.append(hashlib.sha256(_kept(x, k).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lines, pa.int64()), pc.fill_null(b.column("_mf_dropped"), 0), pa.array(sums, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lines, pa.int64()), pc.fill_null(b.column(dropped), 0), pa.array(sums, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     return map_arrow(joined, run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import drop_tables, map_arrow, table
 
 #: Bits of a bitmap filter, at any input size: 8 MB. A fuller bitmap only lets more rows through.
 BITMAP_BITS = 26
@@ -118,8 +118,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["a", "b"])
 
 
+#: Edges of a written partition, at least, where a graph is small.
+EDGES = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component_id) for each vertex of edges(a, b) that isn't its component's least: alternating large-star and small-star rounds, each a written table, until nothing changes."""
+    """(id, component_id) for each vertex of edges(a, b) that isn't its component's least: alternating large-star and small-star rounds, each a written table, until nothing changes. The edges of a hub are rows of a join that Spark splits; of each vertex only its least neighbour is gathered, by partial minima."""
     own = table(map_arrow(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), _contract, "a long, b long").distinct(), "edges")
     before = None
     while True:
@@ -134,4 +138,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: u and its smaller neighbours go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(low, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        own = table(small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        new = small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+        new = table(new.coalesce(-(-state.n // EDGES)), "edges")
+        drop_tables(own.sparkSession, own)
+        own = new
