@@ -144,12 +144,12 @@ def repeated_words(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs with the repeated words gone, the others joined by one space where words went; texts that lose none stay as they are."""
-    joined, names = with_ranges(docs, repeated_words(docs, window)), docs.columns
+    (joined, own), names = with_ranges(docs, repeated_words(docs, window)), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for x, r in zip(b.column("text").to_pylist(), b.column("_mf_ranges").to_pylist(), strict=True):
+            for x, r in zip(b.column("text").to_pylist(), b.column(own).to_pylist(), strict=True):
                 if r:
                     w = words(x or "")
                     x = " ".join(v for v, gone in zip(w, covered(len(w), r, window).tolist(), strict=True) if not gone)
@@ -161,12 +161,12 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def substring_digest(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    joined = with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), repeated_words(docs, window))
+    joined, own = with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), repeated_words(docs, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, sums = [], [], []
-            for x, r in zip(texts(b), b.column("_mf_ranges").to_pylist(), strict=True):
+            for x, r in zip(texts(b), b.column(own).to_pylist(), strict=True):
                 w = words(x)
                 off = covered(len(w), r, window)
                 n.append(len(w))

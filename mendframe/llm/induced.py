@@ -354,12 +354,12 @@ def cut(raw: bytes, gone: np.ndarray) -> bytes:
 
 def dedup_suffixes(docs: DataFrame, window: int = 100) -> DataFrame:
     """docs without repeated bytes, all columns; a character that loses some of its bytes becomes U+FFFD."""
-    joined, names = with_ranges(docs, repeated_bytes(docs, window)), docs.columns
+    (joined, own), names = with_ranges(docs, repeated_bytes(docs, window)), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for x, r in zip(b.column("text").to_pylist(), b.column("_mf_ranges").to_pylist(), strict=True):
+            for x, r in zip(b.column("text").to_pylist(), b.column(own).to_pylist(), strict=True):
                 if r:
                     raw = (x or "").encode()
                     x = cut(raw, covered(len(raw), r, window)).decode("utf-8", "replace")
@@ -371,12 +371,12 @@ def dedup_suffixes(docs: DataFrame, window: int = 100) -> DataFrame:
 
 def suffix_digest(docs: DataFrame, window: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    joined = with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), repeated_bytes(docs, window))
+    joined, own = with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), repeated_bytes(docs, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[], [], [], []]
-            for x, r in zip(texts(b), b.column("_mf_ranges").to_pylist(), strict=True):
+            for x, r in zip(texts(b), b.column(own).to_pylist(), strict=True):
                 raw = x.encode()
                 gone = covered(len(raw), r, window)
                 spans = int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum())

@@ -4,36 +4,44 @@ Equal sets count once. Each distinct set has T minwise values. A tree picks PICK
 again at every node; a document goes down the branch of its own value at each picked position. Nodes of up to LEAF documents
 are compared exhaustively by the share of equal minwise values; TREES independent trees repeat this. The trees'
 first branching is a shuffle; nodes of up to NODE documents are branched further inside their task, larger ones by
-more shuffles, and those that stay large (one group of alike documents) are cut into blocks that meet two by two.
+more shuffles, and those that stay large (one group of alike documents) are linked as large groups are, below.
 
 A pair at similarity 0.8 goes down together at one level with probability 1 - 0.2^PICK = 0.96; over three levels a tree
 keeps it with about 0.94, and four trees miss it with about 10^-5. Its share of equal values is under NEAR with 2 in 10^4.
 
 Nodes send on forests, never all pairs: components of these are groups of possibly near documents. Full sets are then gathered
-by group (in blocks of BLOCK that meet two by two), and links are confirmed by exact counts: from the likeliest pair on, pairs
-of one confirmed component are passed over, as they change nothing. What is sent on is again a forest.
+by group, and every two of a group that may be linked by their sizes are compared exactly, unless they are in one confirmed
+component already, as that changes nothing. What is sent on is again a forest.
+
+A group over BLOCK_BYTES or BLOCK documents is dealt to blocks, and some PIVOTS of its documents go to every block: where all are
+alike, one pivot links them all, at a cost in proportion to the group. Only if this leaves several components, the documents
+outside the largest one meet all of the group, block by block (``linked``).
 
 Defined cases: texts without words, and null texts, have empty sets and link with nothing; one word is a set of one; null ids are
-left unlinked; rows with one id count as one document in links, and each row is returned; other columns are ignored.
+left unlinked; rows with one id are one document, which has the links of all its texts, and each row is returned with its own
+text's set size; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD_SPACE, map_arrow, same, table, texts
+from .common import FOLD_SPACE, free, map_arrow, same, sent, table, texts
 from .streams import Forest, bitmap, components, in_bitmap, mixed, runs
 
-T, TREES, PICK, LEAF, NODE, DEPTH, BLOCK, NEAR, SEED = 128, 4, 2, 64, 20_000, 6, 1024, 0.67, 42
+T, TREES, PICK, LEAF, NODE, DEPTH, BLOCK, NEAR, SEED = 128, 4, 2, 64, 20_000, 6, 2048, 0.67, 42
+#: Bytes of sets in a block, and how many documents of a large group all its blocks hold, about.
+BLOCK_BYTES, PIVOTS = 8 << 20, 16
 #: Words of a shingle and similarity in percent, where no other rule is given.
 WIDTH, PERCENT = 2, 80
-WORDS = 500_000
+#: Words whose hashes a worker keeps, and their greatest length: some 30 MB.
+WORDS, WORD_LENGTH = 200_000, 32
 
 
 class WordHashes(dict):
@@ -43,9 +51,10 @@ class WordHashes(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word.encode())
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = h
+        if len(word) <= WORD_LENGTH:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -128,28 +137,34 @@ def _branch(path: np.ndarray, level: int) -> np.ndarray:
 
 
 def _plant(trees: int):
-    """Each document's first branches: PICK nodes of each tree."""
+    """Each document's first branches: PICK nodes of each tree. Nodes are told apart by whole minwise values; on go 16 bits of each, as many as comparisons need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mixed(np.arange(trees, dtype=np.uint64), 5)
         at = _branch(roots, 0)
         for b in batches:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, T)
+            short = (sig >> np.uint32(16)).astype(np.uint16)
+            short = pa.array([x.tobytes() for x in short], pa.binary())
             for tree in range(trees):
                 for k in range(PICK):
                     pos = at[k, tree]
                     node = mixed(roots[tree] ^ mixed(sig[:, pos].astype(np.uint64) * np.uint64(T) + np.uint64(pos), 6), 7)
-                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column("doc_id"), b.column("n"), b.column("sig")], ["node", "doc_id", "n", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column("doc_id"), b.column("n"), short], ["node", "doc_id", "n", "sig"])
 
     return run
 
 
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, T)
+
+
 def _grow(level: int):
     """The next branches of the documents of large nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, T)
+            sig = _signatures(b.column("sig"))
             path = b.column("node").to_numpy().view(np.uint64)
             at = _branch(path, level)
             for k in range(PICK):
@@ -160,7 +175,7 @@ def _grow(level: int):
     return run
 
 
-def _compare(sig: np.ndarray, n: np.ndarray, forest: Forest, who: np.ndarray, percent: int, side: np.ndarray | None = None) -> None:
+def _compare(sig: np.ndarray, n: np.ndarray, forest: Forest, who: np.ndarray, percent: int) -> None:
     """Join the pairs of who whose share of equal values is near_share at least and whose sizes allow the similarity.
 
     In large nodes pairs that are already in one tree are passed over, so a group of alike documents costs one block of comparisons.
@@ -174,13 +189,11 @@ def _compare(sig: np.ndarray, n: np.ndarray, forest: Forest, who: np.ndarray, pe
                 return
         size = n[own][:, None], n[rest][None, :]
         fit = (100 * np.minimum(*size) >= percent * np.maximum(*size)) & (own[:, None] < rest[None, :])
-        if side is not None:
-            fit &= side[own][:, None] != side[rest][None, :]
         if len(who) > 4 * LEAF:
             fit &= root[own][:, None] != root[rest][None, :]
         a, b = np.nonzero(fit)
-        for c in range(0, len(a), 50_000):
-            i, j = own[a[c : c + 50_000]], rest[b[c : c + 50_000]]
+        for c in range(0, len(a), 20_000):
+            i, j = own[a[c : c + 20_000]], rest[b[c : c + 20_000]]
             hit = (sig[i] == sig[j]).sum(axis=1) >= near
             for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
                 forest.join(x, y)
@@ -191,7 +204,7 @@ def _descend(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     ids, n = t.column("doc_id").to_numpy(), t.column("n").to_numpy()
     order = np.argsort(ids, kind="stable")
     ids, n = ids[order], n[order]
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, T)[order]
+    sig = _signatures(t.column("sig"))[order]
     forest = Forest(len(ids))
     stack = [(np.arange(len(ids)), t.column("node")[0].as_py() & (2**64 - 1), 0)]
     while stack:
@@ -219,22 +232,112 @@ def _forest_edges(ids: np.ndarray, forest: Forest) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["a", "b"])
 
 
-def _blocks(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """Two blocks of a node that stayed large: compare all of one with all of the other."""
-    ids, n, side = (t.column(c).to_numpy() for c in ("doc_id", "n", "side"))
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, T)
-    order = np.argsort(ids, kind="stable")
-    forest = Forest(len(ids))
-    _compare(sig[order], n[order], forest, np.arange(len(ids)), percent, side[order] if t.column("i")[0] != t.column("j")[0] else None)
-    yield from _forest_edges(ids[order], forest)
+def _together(percent: int, counts: Callable) -> Callable:
+    """A block of a group -> forest edges of its links, every pair decided by counts(data, sizes).
+
+    counts gives a function (i, others) -> which of the others link with row i. Rows of one id, or of one component found before, are
+    in one tree from the start; where components are given, only rows outside the largest (``rest``) meet the others.
+    """
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
+        ids, comp, n = (t.column(c).to_numpy()[order] for c in ("doc_id", "comp", "n"))
+        rest = t.column("rest").to_numpy(zero_copy_only=False)[order]
+        every = bool(rest.all())
+        raw = t.column("data").to_pylist()
+        link = counts([raw[i] for i in order.tolist()], n)
+        forest = Forest(len(ids))
+        _, label = np.unique(comp, return_inverse=True)  # label: of the tree that holds a row
+        for i in (np.flatnonzero(ids[1:] == ids[:-1]) + 1).tolist():
+            forest.join(i - 1, i)
+            label[label == label[i]] = label[i - 1]
+        for i in np.flatnonzero(rest).tolist():
+            fit = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if every:
+                fit[:i] = False  # met before, from the other side
+            others = np.flatnonzero(fit)
+            if not len(others):
+                continue
+            for j in others[link(i, others)].tolist():
+                if label[j] != label[i]:
+                    forest.join(i, j)
+                    label[label == label[j]] = label[i]
+        yield from _forest_edges(ids, forest)
+
+    return run
+
+
+def _exactly(percent: int):
+    """Exact counts of common shingles."""
+
+    def counts(raw: list[bytes], n: np.ndarray):
+        flat = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)[1]
+        at = np.r_[0, np.cumsum(n)]
+        mark = np.zeros(len(flat) + 1, bool)
+
+        def link(i: int, others: np.ndarray) -> np.ndarray:
+            own = flat[at[i] : at[i + 1]]
+            mark[own] = True
+            if 4 * n[others].sum() < len(flat):
+                common = np.array([np.count_nonzero(mark[flat[at[j] : at[j + 1]]]) for j in others.tolist()])
+            else:
+                common = np.add.reduceat(mark[flat], at[:-1], dtype=np.int64)[others]
+            mark[own] = False
+            return 100 * common >= percent * (n[i] + n[others] - common)
 
+        return link
 
-def paired(df: DataFrame, key: str, sizes: DataFrame, by: str, block: int) -> DataFrame:
-    """Rows of groups over ``block`` rows, dealt to blocks that meet two by two: adds i, j, side. sizes(key, n) covers the groups that are cut; the others get i = j = side = 0."""
-    large = sizes.where(F.col("n") > block).select(F.col(key).alias("_k"), F.ceil(F.col("n") / (block * 0.9)).cast("long").alias("_blocks"))
-    placed = df.join(large, F.col(key) == F.col("_k"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("long")))
-    placed = placed.withColumn("side", F.pmod(F.xxhash64(F.lit(17), by), F.col("_blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    return placed.withColumn("i", F.least("side", "_other")).withColumn("j", F.greatest("side", "_other")).drop("_k", "_blocks", "_other")
+    return counts
+
+
+def _likely(percent: int):
+    """The share of equal minwise values."""
+
+    def counts(raw: list[bytes], n: np.ndarray):
+        sig, near = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, T), near_share(percent) * T
+        return lambda i, others: (sig[others] == sig[i]).sum(axis=1) >= near
+
+    return counts
+
+
+def linked(rows: DataFrame, members: DataFrame, percent: int, counts: Callable, bytes_of: Column) -> DataFrame:
+    """Forest edges (a, b) of the links within each group of rows(grp, doc_id, n, data); members(grp, doc_id, n) are the same rows without data.
+
+    No pair is lost: within a block all meet; where a large group's blocks and pivots leave several components, the
+    documents outside its largest component meet all others.
+    """
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), F.sum(bytes_of).alias("_b"))
+    blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_b") / BLOCK_BYTES)).cast("long")
+    large = table(sizes.select(F.col("grp").alias("_grp"), "_n", blocks.alias("_blocks")).where("_blocks > 1"), "large-groups")
+    kind, join = "a long, b long", _together(percent, counts)
+    cols = ["grp", "i", "doc_id", "n", "comp", "rest", "data"]
+    if not large.limit(1).count():
+        alone = rows.select("grp", F.lit(0).cast("long").alias("i"), "doc_id", "n", F.col("doc_id").alias("comp"), F.lit(True).alias("rest"), "data")
+        return runs(alone, ["grp", "i"], join, kind, least=2)
+    placed = rows.join(large, F.col("grp") == F.col("_grp"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("long")))
+    block = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.col("_blocks"))
+    pivot = F.coalesce(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.col("_n")) < PIVOTS, F.lit(False))
+    spread = F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).otherwise(F.array(block)))
+    placed = placed.withColumn("i", spread).withColumn("comp", F.col("doc_id")).withColumn("rest", F.lit(True)).select(*cols)
+    first = table(runs(placed, ["grp", "i"], join, kind, least=2), "first-links")
+    # large groups of several components: whatever is outside the largest meets all
+    found = components(first)
+    own = members.join(large, F.col("grp") == F.col("_grp"), "left_semi").select("grp", "doc_id", "n")
+    own = own.join(found, F.col("doc_id") == F.col("id"), "left").select("grp", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("comp"))
+    parts = table(own.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum(bytes_of).alias("b")), "parts")
+    main = parts.groupBy("grp").agg(F.max(F.struct("k", "comp", "b")).alias("main"), F.sum("k").alias("n"), F.sum("b").alias("b")).where("main.k < n")
+    cut = lambda n, b: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES)).cast("long")
+    main = table(main.select(F.col("grp").alias("_grp"), F.col("main.comp").alias("main"), cut(F.col("n"), F.col("b")).alias("_blocks"), cut(F.col("n") - F.col("main.k"), F.col("b") - F.col("main.b")).alias("_rests")), "several")
+    if not main.limit(1).count():
+        return first
+    again = rows.join(main, F.col("grp") == F.col("_grp")).join(found, F.col("doc_id") == F.col("id"), "left").withColumn("comp", F.coalesce("component_id", "doc_id"))
+    again = again.withColumn("rest", F.col("comp") != F.col("main"))
+    block, other = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.col("_blocks")), F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.col("_rests"))
+    count = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    everyone = again.withColumn("rest", F.lit(False)).withColumn("i", F.explode(F.transform(count("_rests"), lambda r: r * F.col("_blocks") + block)))
+    outside = again.where("rest").withColumn("i", F.explode(F.transform(count("_blocks"), lambda k: other * F.col("_blocks") + k)))
+    met = everyone.select(*cols).unionByName(outside.select(*cols))
+    return first.unionByName(runs(met, ["grp", "i"], join, kind, least=2))
 
 
 def candidates(sets: DataFrame, trees: int = TREES, percent: int = PERCENT) -> DataFrame:
@@ -252,52 +355,12 @@ def candidates(sets: DataFrame, trees: int = TREES, percent: int = PERCENT) -> D
             return out
         rest = now.join(hot, F.col("node") == F.col("_node"), "left_semi")
         if level >= DEPTH:
-            cut = paired(rest, "node", large.select("node", F.col("n_node").alias("n")), "doc_id", NODE // 4)
-            return add(runs(cut, ["node", "i", "j"], partial(_blocks, percent=percent), "a long, b long", least=2))
+            rest = rest.select(F.col("node").alias("grp"), "doc_id", "n", F.col("sig").alias("data"))
+            return add(linked(rest, rest.select("grp", "doc_id", "n"), percent, _likely(percent), F.lit(2 * T)))
         level += 1
         now = map_arrow(table(rest, "large"), _grow(level), kind)
 
 
-def _confirm(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """Exact links within a group (or between two of its blocks), as a forest."""
-    ids, side = t.column("doc_id").to_numpy(), t.column("side").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids, side = ids[order], side[order]
-    raw = t.column("values").to_pylist()
-    sets = [np.frombuffer(raw[i], np.uint64) for i in order.tolist()]
-    n = np.array([len(s) for s in sets])
-    forest = Forest(len(ids))
-    cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-    sig = np.stack([minwise(s) for s in sets])
-    found = []
-    for s in range(0, len(ids), 64):
-        own, rest = np.arange(s, min(s + 64, len(ids))), np.arange(s, len(ids))
-        fit = (100 * np.minimum(n[own][:, None], n[rest][None, :]) >= percent * np.maximum(n[own][:, None], n[rest][None, :])) & (own[:, None] < rest[None, :])
-        if cross:
-            fit &= side[own][:, None] != side[rest][None, :]
-        a, b = np.nonzero(fit)
-        for c in range(0, len(a), 50_000):
-            i, j = own[a[c : c + 50_000]], rest[b[c : c + 50_000]]
-            share = (sig[i] == sig[j]).sum(axis=1)
-            hit = share >= near_share(percent) * T
-            found.append((share[hit], i[hit], j[hit]))
-    if not found:
-        return
-    share, a, b = (np.concatenate(v) for v in zip(*found, strict=True))
-    best = np.argsort(-share, kind="stable")
-    a, b = a[best], b[best]
-    for c in range(0, len(a), 20_000):
-        root = forest.roots()
-        x, y = a[c : c + 20_000], b[c : c + 20_000]
-        apart = root[x] != root[y]
-        for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
-            if forest.root(i) != forest.root(j):
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                    forest.join(i, j)
-    yield from _forest_edges(ids, forest)
-
-
 def _full(bits: np.ndarray, width: int):
     """doc_id, values: the sets of the documents whose id's hash is in the bitmap."""
 
@@ -317,18 +380,19 @@ def near_duplicates(docs: DataFrame, trees: int | None = None, width: int = WIDT
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = table(map_arrow(own, _sketch(width), "doc_id long, n long, d1 long, d2 long, sig binary"), "sketches")
     able = sketches.where("n > 0 and doc_id is not null")
-    reps = table(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "set-reps")
-    heads = able.join(reps.select(F.col("rep"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("doc_id") == F.col("rep")))
-    heads = table(heads.select("doc_id", "n", "sig").dropDuplicates(["doc_id"]), "heads")
-    groups = components(table(candidates(heads, trees, percent), "near"))
+    # equal sets have equal sizes and sketches; one id may head several sets
+    heads = table(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("sig").alias("sig")), "heads")
+    groups = components(candidates(heads, trees, percent))
     groups = table(groups.unionByName(groups.select(F.col("component_id").alias("id"), "component_id").distinct()), "groups")
     bits = bitmap(groups, F.xxhash64("id"))
     full = map_arrow(own.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").where("doc_id is not null"), _full(bits, width), "doc_id long, values binary")
-    full = full.join(groups, F.col("doc_id") == F.col("id")).select(F.col("component_id").alias("grp"), "doc_id", "values").dropDuplicates(["doc_id"])
-    sizes = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("component_id").alias("grp"), "n")
-    links = table(runs(paired(full, "grp", sizes, "doc_id", BLOCK), ["grp", "i", "j"], partial(_confirm, percent=percent), "a long, b long", least=2), "links")
-    # equal sets are linked too: under one id, or through their first document
-    copies = able.join(reps.select("rep", F.col("d1").alias("e1"), F.col("d2").alias("e2")), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    full = full.join(groups, F.col("doc_id") == F.col("id")).select(F.col("component_id").alias("grp"), "doc_id", F.xxhash64("values").alias("v"), (F.length("values") / 8).cast("long").alias("n"), F.col("values").alias("data"))
+    full = full.dropDuplicates(["doc_id", "v"]).drop("v").where("n > 0")
+    members = heads.join(groups, F.col("doc_id") == F.col("id")).select(F.col("component_id").alias("grp"), "doc_id", "n")
+    links = linked(full, members, percent, _exactly(percent), 8 * F.col("n"))
+    # equal sets are linked too, through their first document
+    reps = heads.select(F.col("doc_id").alias("rep"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
+    copies = able.join(reps, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(copies))
     out = sketches.select("doc_id", "n").join(found, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component_id", "doc_id")
@@ -336,10 +400,11 @@ def near_duplicates(docs: DataFrame, trees: int | None = None, width: int = WIDT
 
 
 def keep_first(docs: DataFrame, trees: int | None = None, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents that near-duplicate an earlier one; all columns."""
-    gone = near_duplicates(docs, trees, width, percent).where("not kept").select(F.col("doc_id").alias("_mf_doc")).distinct()
-    left = docs.withColumn("_mf_key", F.col("doc_id").cast("long"))
-    return left.join(gone, same(left, gone, ("_mf_key", "_mf_doc")), "left_anti").drop("_mf_key")
+    """docs without the documents that near-duplicate an earlier one; all columns. The ids that go are sent to the texts if they are SENT_BYTES at most."""
+    key, doc = free(docs, "key", "doc")
+    gone = near_duplicates(docs, trees, width, percent).where("not kept").select(F.col("doc_id").alias(doc)).distinct()
+    left, gone = docs.withColumn(key, F.col("doc_id").cast("long")), sent(gone, "near-copies")
+    return left.join(gone, same(left, gone, (key, doc)), "left_anti").drop(key)
 
 
 ORACLE = r"""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, same, table, texts, words
+from .common import free, map_arrow, same, sent, table, texts, words
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("word_length", "symbol_rate", "dup_lines", "repeats", "upper", "marks")
@@ -192,6 +192,8 @@ def judge(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, cutoff
 
 
 def keep_good(docs: DataFrame, **rules) -> DataFrame:
-    """The documents that judge() keeps, all columns; of rows with one id, those stay whose id was kept."""
-    good = judge(docs, **rules).groupBy("doc_id").agg(F.max("kept").alias("_mf_kept")).where("_mf_kept").select(F.col("doc_id").alias("_mf_doc"))
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(good._mf_doc), "left_semi")
+    """The documents that judge() keeps, all columns; of rows with one id, those stay whose id was kept. The ids that go are sent to the texts if they are SENT_BYTES at most."""
+    key, doc = free(docs, "key", "doc")
+    bad = judge(docs, **rules).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias(doc))
+    left, bad = docs.withColumn(key, F.col("doc_id").cast("long")), sent(bad, "rejected")
+    return left.join(bad, same(left, bad, (key, doc)), "left_anti").drop(key)

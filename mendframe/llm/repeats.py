@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, same, table, texts
+from .common import free, map_arrow, same, sent, table, texts
 from .streams import bitmap, in_bitmap, mixed, runs
 
 HOT, SHARD_BYTES, NULL_ID = 2000, 1 << 20, -(2**63)
@@ -226,9 +226,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """All rows and columns of docs, with _mf_ranges (null: none)."""
-    names = docs.columns
-    left = docs.withColumn("_mf_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    right = ranges.select(F.col("doc_id").alias("_mf_doc"), F.col("ranges").alias("_mf_ranges"))
-    return left.join(right, same(left, right, ("_mf_key", "_mf_doc")), "left").select(*names, "_mf_ranges")
+def with_ranges(docs: DataFrame, ranges: DataFrame) -> tuple[DataFrame, str]:
+    """All rows and columns of docs, with the ranges (null: none) in a column of the name returned. Ranges of SENT_BYTES at most go to the texts; only more make texts move."""
+    names, (key, doc, own) = docs.columns, free(docs, "key", "doc", "ranges")
+    left = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    right = sent(ranges, "ranges-by-document", 16 * F.size("ranges") + 32).select(F.col("doc_id").alias(doc), F.col("ranges").alias(own))
+    return left.join(right, same(left, right, (key, doc)), "left").select(*names, own), own
