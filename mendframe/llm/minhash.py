@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import FOLD_SPACE, free, map_arrow, same, sent, table, texts
-from .streams import Forest, bitmap, components, in_bitmap, mixed, runs
+from .streams import Forest, bitmap, components, contracted, in_bitmap, mixed, runs
 
 T, TREES, PICK, LEAF, NODE, DEPTH, BLOCK, NEAR, SEED = 128, 4, 2, 64, 20_000, 6, 2048, 0.67, 42
 #: Bytes of sets in a block, and how many documents of a large group all its blocks hold, about.
@@ -313,13 +313,13 @@ def linked(rows: DataFrame, members: DataFrame, percent: int, counts: Callable,
     cols = ["grp", "i", "doc_id", "n", "comp", "rest", "data"]
     if not large.limit(1).count():
         alone = rows.select("grp", F.lit(0).cast("long").alias("i"), "doc_id", "n", F.col("doc_id").alias("comp"), F.lit(True).alias("rest"), "data")
-        return runs(alone, ["grp", "i"], join, kind, least=2)
+        return runs(alone, ["grp", "i"], join, kind, least=2, then=contracted)
     placed = rows.join(large, F.col("grp") == F.col("_grp"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("long")))
     block = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.col("_blocks"))
     pivot = F.coalesce(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.col("_n")) < PIVOTS, F.lit(False))
     spread = F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).otherwise(F.array(block)))
     placed = placed.withColumn("i", spread).withColumn("comp", F.col("doc_id")).withColumn("rest", F.lit(True)).select(*cols)
-    first = table(runs(placed, ["grp", "i"], join, kind, least=2), "first-links")
+    first = table(runs(placed, ["grp", "i"], join, kind, least=2, then=contracted), "first-links")
     # large groups of several components: whatever is outside the largest meets all
     found = components(first)
     own = members.join(large, F.col("grp") == F.col("_grp"), "left_semi").select("grp", "doc_id", "n")
@@ -337,7 +337,7 @@ def linked(rows: DataFrame, members: DataFrame, percent: int, counts: Callable,
     everyone = again.withColumn("rest", F.lit(False)).withColumn("i", F.explode(F.transform(count("_rests"), lambda r: r * F.col("_blocks") + block)))
     outside = again.where("rest").withColumn("i", F.explode(F.transform(count("_blocks"), lambda k: other * F.col("_blocks") + k)))
     met = everyone.select(*cols).unionByName(outside.select(*cols))
-    return first.unionByName(runs(met, ["grp", "i"], join, kind, least=2))
+    return first.unionByName(runs(met, ["grp", "i"], join, kind, least=2, then=contracted))
 
 
 def candidates(sets: DataFrame, trees: int = TREES, percent: int = PERCENT) -> DataFrame:
@@ -350,7 +350,7 @@ def candidates(sets: DataFrame, trees: int = TREES, percent: int = PERCENT) -> D
         some = large.limit(1).count() > 0
         hot = large.select(F.col("node").alias("_node"))
         fit = now.join(hot, F.col("node") == F.col("_node"), "left_anti") if some else now
-        out = add(runs(fit, ["node"], partial(_descend, percent=percent), "a long, b long", least=2))
+        out = add(runs(fit, ["node"], partial(_descend, percent=percent), "a long, b long", least=2, then=contracted))
         if not some:
             return out
         rest = now.join(hot, F.col("node") == F.col("_node"), "left_semi")

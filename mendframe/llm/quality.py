@@ -1,10 +1,14 @@
 """Quality rules: fixed word rules, and robust multivariate outliers by language and source.
 
-Each text becomes a vector of transformed rates. For each (lang, source) a minimum covariance determinant is approached by
-concentration steps over all rows of the group: start from medians and absolute deviations, keep the SHARE of the rows
-nearest by Mahalanobis distance, take their mean and covariance, and again. Every step is two aggregations with partial
-sums, so a source that holds a third of all rows only costs its map tasks; what a group sends on is one row. Distances are
-scaled so that a group's median is that of chi-square; documents beyond CUTOFF are rejected.
+Each text becomes a vector of transformed rates. For each (lang, source) the minimum covariance determinant is sought as
+FAST-MCD does: on START rows of the group (chosen by hash) STARTS small subsets are drawn, each becomes a fit that is
+concentrated twice, the BEST of least determinant are concentrated until they stand still, and the least determinant wins. From
+there concentration goes on over all rows of the group until no determinant falls by more than SETTLED: keep the SHARE of the
+rows nearest by Mahalanobis distance, take their mean and covariance, and again. Only the start comes from the bounded
+sample; each step is two aggregations with partial sums over all rows, so a source that holds a third of them only costs its
+map tasks, and what a group sends on is one row. Quantiles are read from counts of distances in bins of BIN to the doubling,
+so they don't depend on how rows are dealt. Distances are scaled so that a group's median is that of chi-square; documents
+beyond CUTOFF are rejected.
 
 FLOOR is added to each variance, so a rate that is constant in a group (often 0) doesn't reject the first small change. A
 group of under MIN_ROWS documents that pass the base rules is judged by its language's fit, over all sources; a language of
@@ -16,22 +20,26 @@ through; an empty table gives none; other columns are ignored by ``judge`` and k
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, map_arrow, same, sent, table, texts, words
+from ..workers import ship
+from .common import drop_tables, free, map_arrow, same, sent, table, texts, words
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("word_length", "symbol_rate", "dup_lines", "repeats", "upper", "marks")
 P = len(FEATURES)
 #: Least variance of each feature, as squared units of its transform.
 FLOOR = np.array([0.05, 0.15, 0.08, 0.10, 0.05, 0.08]) ** 2
-SHARE, STEPS, MIN_ROWS = 0.75, 3, 100
+SHARE, STEPS, SETTLED, MIN_ROWS, BIN = 0.6, 12, 1e-3, 100, 64
+#: Rows of a group that the starts are drawn from, subsets drawn, and fits that are concentrated to the end.
+START, STARTS, BEST, SEED = 1000, 40, 5, 13
 #: What names a fit: its level, and the group's language and source as far as the level tells them apart.
 KEYS = ["level", "lang", "source"]
 #: Squared distance, so a distance of 10; rates are far from normal, and clean documents must stay.
@@ -39,6 +47,11 @@ CUTOFF, CHI_MEDIAN = 100.0, 5.348
 #: Words that the rates are shrunk by, as short texts vary more.
 PRIOR = 30
 
+#: For counting: bytes that aren't ASCII letters, or not capital ones; and runs of ASCII.
+_NO_LETTER = bytes(k for k in range(256) if not (65 <= k <= 90 or 97 <= k <= 122))
+_NO_UPPER = bytes(k for k in range(256) if not 65 <= k <= 90)
+_ASCII = re.compile(r"[\x00-\x7f]+")
+
 _STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"x{i} double" for i in range(P))
 
 
@@ -74,8 +87,9 @@ def measure(text: str) -> tuple[list[int], list[float]]:
     symbols = sum(map(text.count, SYMBOLS))
     lines, dup = duplicate_lines(text)
     rep = repeated_words(ws)
-    letters = sum(map(str.isalpha, text)) if not text.isascii() else sum(c.isalpha() for c in text)
-    upper = sum(map(str.isupper, text))
+    raw, more = text.encode(), "" if text.isascii() else _ASCII.sub("", text)
+    letters = len(raw.translate(None, _NO_LETTER)) + sum(map(str.isalpha, more))
+    upper = len(raw.translate(None, _NO_UPPER)) + sum(map(str.isupper, more))
     rate = lambda a, b: a / (b + PRIOR)
     x = [
         np.log((chars + 5 * PRIOR) / (n + PRIOR)),
@@ -108,22 +122,65 @@ def _distance(mean, inverse) -> F.Column:
     return reduce(lambda a, b: a + b, (d[i] * d[j] * inverse[i * P + j] * (1 if i == j else 2) for i in range(P) for j in range(i, P)))
 
 
-def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A group's moments -> its mean and inverse covariance."""
+def fit_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, inverse covariance and log-determinant of rows; FLOOR is added to the variances."""
+    return _fit(x.mean(axis=0), x.T @ x / len(x))
+
+
+def _fit(mean: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    cov = second - np.outer(mean, mean)
+    cov[np.diag_indices(P)] = np.maximum(np.diag(cov), 0) + FLOOR
+    return mean, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+
+
+def concentrate(x: np.ndarray, fit: tuple, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, float]:
+    """One concentration step: the fit of the share of rows nearest by the fit given."""
+    d = x - fit[0]
+    far = np.einsum("ij,jk,ik->i", d, fit[1], d)
+    h = max(1, int(np.ceil(share * len(x))))
+    return fit_of(x[np.argpartition(far, h - 1)[:h]])
+
+
+def least_determinant(x: np.ndarray, share: float = SHARE, starts: int = STARTS, best: int = BEST) -> tuple[np.ndarray, np.ndarray, float]:
+    """FAST-MCD on rows in memory: of ``starts`` subsets, the ``best`` after two steps go on until they stand still."""
+    rng = np.random.default_rng(SEED)
+    k = min(len(x), P + 1)
+    mid = np.median(x, axis=0)
+    spread = 1 / ((1.4826 * np.median(np.abs(x - mid), axis=0)) ** 2 + FLOOR)
+    found = [(mid, np.diag(spread), 0.0), *(fit_of(x[rng.choice(len(x), k, replace=False)]) for _ in range(starts))]
+    for _ in range(2):
+        found = [concentrate(x, f, share) for f in found]
+    out = []
+    for f in sorted(found, key=lambda f: f[2])[:best]:
+        for _ in range(100):
+            new = concentrate(x, f, share)
+            if new[2] >= f[2] - 1e-9:
+                break
+            f = new
+        out.append(f)
+    return min(out, key=lambda f: f[2])
+
+
+def _started(t: pa.Table) -> pa.Table:
+    """The sample of a group -> its first fit."""
+    x = np.column_stack([t.column(f"x{i}").to_numpy() for i in range(P)])
+    order = np.lexsort(x.T)  # as rows come in any order
+    mean, inverse, det = least_determinant(x[order])
+    return pa.table({**{k: t.column(k)[:1] for k in KEYS}, "mean": pa.array([mean.tolist()]), "inverse": pa.array([inverse.ravel().tolist()]), "det": pa.array([det])})
+
+
+def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A group's moments -> its mean, inverse covariance and log-determinant."""
     for b in batches:
-        means, inverses = [], []
+        fits = []
         for r in b.to_pylist():
-            n = r["n"]
-            mean = np.array([r[f"s{i}"] for i in range(P)]) / n
-            cov = np.zeros((P, P))
+            second = np.zeros((P, P))
             for i in range(P):
                 for j in range(i, P):
-                    cov[i, j] = cov[j, i] = r[f"s{i}_{j}"] / n - mean[i] * mean[j]
-            cov[np.diag_indices(P)] = np.maximum(np.diag(cov), 0) + FLOOR
-            means.append(mean.tolist())
-            inverses.append(np.linalg.inv(cov).ravel().tolist())
+                    second[i, j] = second[j, i] = r[f"s{i}_{j}"] / r["n"]
+            fits.append(_fit(np.array([r[f"s{i}"] for i in range(P)]) / r["n"], second))
         kind = pa.list_(pa.float64())
-        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEYS), pa.array(means, kind), pa.array(inverses, kind)], [*KEYS, "mean", "inverse"])
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEYS), pa.array([f[0].tolist() for f in fits], kind), pa.array([f[1].ravel().tolist() for f in fits], kind), pa.array([f[2] for f in fits], pa.float64())], [*KEYS, "mean", "inverse", "det"])
 
 
 def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -153,28 +210,47 @@ def _levelled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = [good.where("level = 0"), good.join(some, same(good, some, ("_l", "_lang")), "left_semi").withColumn("level", F.lit(1))]
     if looked.where("level = 2").limit(1).count():
         parts.append(good.withColumn("level", F.lit(2)))
-    fits = reduce(DataFrame.unionByName, (p.select(*KEYS[:1], *names, *(f"x{i}" for i in range(P))) for p in parts))
+    fits = reduce(DataFrame.unionByName, (p.select(*KEYS[:1], *names, F.xxhash64("doc_id", *(f"x{i}" for i in range(P))).alias("pick"), *(f"x{i}" for i in range(P))) for p in parts))
     return marked.select("*", *names).drop("_l", "_s"), table(fits, "fits")
 
 
+_FITTED = "level int, lang string, source string, mean array<double>, inverse array<double>, det double"
+
+
+def _quantile(far: DataFrame, share: float) -> DataFrame:
+    """KEYS, most: the bin of d2 up to which share of a group's rows lie, from counts of bins."""
+    held = far.groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy(*KEYS)
+    up_to = held.withColumn("up_to", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
+    return up_to.where(F.col("up_to") >= share * F.col("all")).groupBy(*KEYS).agg(F.min("bin").alias("most"))
+
+
 def robust_fit(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """level, lang, source, n, mean, inverse, scale: each group's location, inverse scatter, and what makes its median distance chi-square's."""
-    keys = KEYS
-    mid = rows.groupBy(keys).agg(F.count(F.lit(1)).alias("n"), F.array(*(F.percentile_approx(f"x{i}", 0.5, 1000) for i in range(P))).alias("mean"))
-    off = _with(rows, mid.select(*keys, "mean")).groupBy(keys).agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col("mean")[i]), 0.5, 1000).alias(f"m{i}") for i in range(P)))
-    unit = lambda i, j: 1 / (F.pow(1.4826 * F.col(f"m{i}"), 2) + float(FLOOR[i])) if i == j else F.lit(0.0)
-    start = off.select(*keys, F.array(*(unit(i, j) for i in range(P) for j in range(P))).alias("inverse"))
-    fit = table(_with(mid.select(*keys, "n", "mean"), start), "mcd")
+    """level, lang, source, mean, inverse, det, scale: each group's location, inverse scatter, and what makes its median distance chi-square's."""
+    xs = [f"x{i}" for i in range(P)]
+    # a hash under its share of all hashes comes first, so a large group's tasks send on 2 * START rows together, not each
+    sizes = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    likely = _with(rows, sizes).where(F.abs(F.col("pick").cast("double")) * F.col("n") <= 2.0**63 * 2 * START)
+    first = F.row_number().over(Window.partitionBy(*KEYS).orderBy("pick", *xs))
+    sample = likely.withColumn("turn", first).where(F.col("turn") <= START).drop("turn", "pick", "n")
+    ship(rows.sparkSession)
+    fit = table(sample.groupBy(*KEYS).applyInArrow(_started, _FITTED), "mcd")
+    bins = F.floor(F.log2(F.greatest("d2", F.lit(1e-12))) * BIN).cast("long")
+    distances = lambda fit: _with(rows, fit.select(*KEYS, "mean", "inverse")).withColumn("d2", _distance(F.col("mean"), F.col("inverse"))).drop("mean", "inverse").withColumn("bin", bins)
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
+    before = None
     for _ in range(steps):
-        far = _with(rows, fit.select(*keys, "mean", "inverse")).withColumn("d2", _distance(F.col("mean"), F.col("inverse"))).drop("mean", "inverse")
-        near = far.groupBy(keys).agg(F.percentile_approx("d2", SHARE, 1000).alias("most"))
-        kept = _with(far, near).where("d2 <= most")
-        sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
-        moments = kept.groupBy(keys).agg(F.count(F.lit(1)).alias("n"), *sums)
-        new = map_arrow(moments, _invert, "level int, lang string, source string, mean array<double>, inverse array<double>")
-        fit = table(_with(fit.select(*keys, "n"), new), "mcd")
-    far = _with(rows, fit.select(*keys, "mean", "inverse")).withColumn("d2", _distance(F.col("mean"), F.col("inverse")))
-    scale = far.groupBy(keys).agg((F.percentile_approx("d2", 0.5, 1000) / CHI_MEDIAN).alias("scale"))
+        far = distances(fit)
+        kept = _with(far, _quantile(far, SHARE)).where("bin <= most")
+        new = table(map_arrow(kept.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *sums), _moved, _FITTED), "mcd")
+        drop_tables(rows.sparkSession, fit)
+        fit = new
+        # one number stands for all groups: their determinants' sum, which falls or stands still
+        now = fit.agg(F.sum("det").alias("d"), F.count(F.lit(1)).alias("n")).first()
+        if not now.n or before is not None and before - now.d <= SETTLED * now.n:
+            break
+        before = now.d
+    scale = _quantile(distances(fit), 0.5).select(*KEYS, (F.pow(F.lit(2.0), (F.col("most") + 0.5) / BIN) / CHI_MEDIAN).alias("scale"))
     return table(_with(fit, scale), "mcd")
 
 

@@ -15,8 +15,12 @@ from .common import drop_tables, map_arrow, table
 BITMAP_BITS = 26
 
 
-def runs(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, least: int = 1) -> DataFrame:
-    """fn over each group of keys (long columns, no nulls), in sorted streams; groups of under ``least`` rows are passed over. A group must fit in memory: callers split large ones first."""
+#: Rows of a result that runs() gathers before it sends them on.
+GATHERED = 20_000
+
+
+def runs(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, least: int = 1, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """fn over each group of keys (long columns, no nulls), in sorted streams; groups of under ``least`` rows are passed over. A group must fit in memory: callers split large ones first. What groups give goes on in larger batches, through ``then`` if given, in the same Python worker."""
 
     def bounds(t: pa.Table) -> np.ndarray:
         n = t.num_rows
@@ -49,7 +53,21 @@ def runs(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.Re
             t = pa.Table.from_batches(held).combine_chunks()
             yield from groups(t, bounds(t))
 
-    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in run(batches):
+            held.append(b)
+            n += b.num_rows
+            if n >= GATHERED:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then(gathered(batches)) if then else gathered(batches)
+
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), all_of, schema)
 
 
 def mixed(a: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -104,8 +122,8 @@ class Forest:
         return np.array([self.root(i) for i in range(len(self.up))], np.int64)
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a task -> at most one edge per vertex, to the least vertex it reaches here."""
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of each batch -> at most one edge per vertex, to the least vertex it reaches there."""
     for b in batches:
         both = np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()])
         ids, flat = np.unique(both, return_inverse=True)
@@ -123,8 +141,8 @@ EDGES = 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component_id) for each vertex of edges(a, b) that isn't its component's least: alternating large-star and small-star rounds, each a written table, until nothing changes. The edges of a hub are rows of a join that Spark splits; of each vertex only its least neighbour is gathered, by partial minima."""
-    own = table(map_arrow(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), _contract, "a long, b long").distinct(), "edges")
+    """(id, component_id) for each vertex of edges(a long, b long) that isn't its component's least: alternating large-star and small-star rounds, each a written table, until nothing changes. The edges of a hub are rows of a join that Spark splits; of each vertex only its least neighbour is gathered, by partial minima."""
+    own = table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
         state = own.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
