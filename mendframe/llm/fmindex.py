@@ -1,9 +1,10 @@
-"""Substring dedup by FM-indexes: backward search over wavelet trees.
+"""Substring dedup by FM-indexes: matching statistics by backward search over wavelet trees.
 
-A shard's index is a Burrows-Wheeler transform of its word numbers in a wavelet tree (one bit row per bit of the numbers, with
-running counts), and the document of each suffix with a range-minimum table. Streamed segments are searched backwards, all
-windows of a step at once: after W steps a window's suffix interval is known, and the least document in it tells whether the
-window stands in an earlier document.
+A shard's index is a Burrows-Wheeler transform of its word numbers in a wavelet tree (a row of packed bits for each bit of the
+numbers, with a running count every 64 bits), and the owner of each suffix with a range-minimum table. Segments stream against it:
+from an end, backward search goes left as long as the interval holds a document smaller than the segment's own, which
+gives the matching statistic of that end, the start of the longest such match. Starts never fall as ends rise, so the statistics
+at two ends often settle all windows between them, and otherwise the middle one is asked next (``matches``).
 
 Frame, sharding and defined cases: see repeats. Words are what white space of ASCII separates, unchanged.
 """
@@ -41,67 +42,115 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 
 
 class WaveletTree:
-    """Rank over numbers 0..2^levels-1 in levels bit rows (a wavelet matrix)."""
+    """Rank over numbers 0..2^levels-1 in levels rows of packed bits (a wavelet matrix): n bits and n / 64 counts a row."""
 
     def __init__(self, values: np.ndarray):
         self.levels = max(1, int(values.max()).bit_length()) if len(values) else 1
-        self.ones: list[np.ndarray] = []
+        self.bits: list[np.ndarray] = []
+        self.before: list[np.ndarray] = []
         self.zeros: list[int] = []
-        v = values
+        v, words = values, len(values) // 64 + 1
         for level in reversed(range(self.levels)):
-            bit = (v >> level) & 1
-            self.ones.append(np.r_[0, np.cumsum(bit)].astype(np.int32))
+            bit = ((v >> level) & 1).astype(bool)
+            packed = np.zeros(8 * words, np.uint8)
+            packed[: -(-len(v) // 8)] = np.packbits(bit, bitorder="little")
+            self.bits.append(packed.view("<u8"))
+            self.before.append(np.r_[0, np.cumsum(np.bitwise_count(self.bits[-1]), dtype=np.int32)].astype(np.int32))
             self.zeros.append(int(len(v) - bit.sum()))
-            v = np.r_[v[bit == 0], v[bit == 1]]
+            v = np.r_[v[~bit], v[bit]]
+
+    def ones(self, row: int, at: np.ndarray) -> np.ndarray:
+        """Set bits of a row before each position."""
+        word = at >> 6
+        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[row][word] + np.bitwise_count(self.bits[row][word] & low)
 
     def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before its position."""
-        start, end = np.zeros_like(at), at.copy()
+        both = np.concatenate([np.zeros_like(at), at])
+        twice = np.concatenate([symbols, symbols])
         for i, level in enumerate(reversed(range(self.levels))):
-            ones, zeros = self.ones[i], self.zeros[i]
-            bit = ((symbols >> level) & 1).astype(bool)
-            s1, e1 = ones[start], ones[end]
-            start = np.where(bit, zeros + s1, start - s1)
-            end = np.where(bit, zeros + e1, end - e1)
-        return end - start
+            one = self.ones(i, both)
+            both = np.where((twice >> level) & 1, self.zeros[i] + one, both - one)
+        return both[len(at) :] - both[: len(at)]
 
 
 class FMIndex:
     """Index of rows of numbers >= 1; each row belongs to an owner."""
 
     def __init__(self, rows: list[np.ndarray], owners: list[int]):
-        parts, who = [], []
-        for i, r in enumerate(rows):
+        parts = []
+        for r in rows:
             parts += [r, [1]]  # 1 parts rows; numbers are shifted by 2
-            who.append(np.full(len(r) + 1, i, np.int64))
         t = np.r_[np.concatenate(parts).astype(np.int64), 0]
         order = suffix_array(t)
-        bwt = t[order - 1]
         self.first = np.r_[0, np.cumsum(np.bincount(t))]
-        self.tree = WaveletTree(bwt)
+        self.tree = WaveletTree(t[order - 1])
         self.n = len(t)
-        owner = np.r_[np.asarray(owners, np.int64)[np.concatenate(who)], np.iinfo(np.int64).max][order]
-        self.least = [owner]
-        while len(self.least[-1]) > 1 and (1 << len(self.least)) <= self.n:
-            half = 1 << (len(self.least) - 1)
-            self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
+        self.owners = np.unique(np.asarray(owners, np.int64))
+        own = np.searchsorted(self.owners, owners).astype(np.int32)
+        least = np.r_[np.repeat(own, [len(r) + 1 for r in rows]), np.int32(len(self.owners))][order]
+        table = [least]
+        while (1 << len(table)) <= self.n:
+            half = 1 << (len(table) - 1)
+            table.append(np.r_[np.minimum(table[-1][:-half], table[-1][half:]), table[-1][-half:]])
+        self.least = np.stack(table)
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search for many intervals."""
-        c = self.first[symbols]
-        return c + self.tree.rank(symbols, lo), c + self.tree.rank(symbols, hi)
+        both = self.first[np.concatenate([symbols, symbols])] + self.tree.rank(np.concatenate([symbols, symbols]), np.concatenate([lo, hi]))
+        return both[: len(lo)], both[len(lo) :]
 
     def least_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        out = np.full(len(lo), np.iinfo(np.int64).max)
-        some = hi > lo
-        level = np.frexp((hi - lo)[some].astype(float))[1] - 1
-        a, b = lo[some], hi[some]
-        best = np.empty(len(a), np.int64)
-        for k in np.unique(level).tolist():
-            on = level == k
-            best[on] = np.minimum(self.least[k][a[on]], self.least[k][b[on] - (1 << k)])
-        out[some] = best
-        return out
+        """The place in ``owners`` of each interval's least owner; beyond them all where it is empty."""
+        level = np.maximum(np.frexp((hi - lo).astype(np.float64))[1] - 1, 0)
+        found = np.minimum(self.least[level, np.minimum(lo, self.n - 1)], self.least[level, np.maximum(hi - (1 << level), 0)])
+        return np.where(hi > lo, found, len(self.owners))
+
+    def starts(self, flat: np.ndarray, begin: np.ndarray, end: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Matching statistics of ends: the least start of a match of flat[start:end] with a smaller owner, begin at least."""
+        at = end.copy()
+        live = np.arange(len(end))
+        lo, hi = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
+        while len(live):
+            live_at = at[live]
+            lo, hi = self.extend(lo, hi, flat[live_at - 1])
+            ok = self.least_owner(lo, hi) < own[live]
+            at[live[ok]] -= 1
+            ok &= live_at - 1 > begin[live]
+            live, lo, hi = live[ok], lo[ok], hi[ok]
+        return at
+
+
+def matches(index: FMIndex, flat: np.ndarray, base: np.ndarray, own: np.ndarray, window: int) -> np.ndarray:
+    """For each position of flat, whether a window that starts there stands with a smaller owner. Segment i is flat[base[i]:base[i + 1]]."""
+    hit = np.zeros(len(flat) + 1, np.int64)  # differences
+    begin, low, high = base[:-1], base[:-1] + window, base[1:]
+
+    def mark(first: np.ndarray, last: np.ndarray) -> None:
+        np.add.at(hit, first - window, 1)
+        np.add.at(hit, last - window + 1, -1)
+
+    s_low = index.starts(flat, begin, low, own)
+    on = s_low <= high - window  # else no window can match
+    begin, own, low, high, s_low = begin[on], own[on], low[on], high[on], s_low[on]
+    s_high = index.starts(flat, begin, high, own)
+    # ends of low..high are open; the first one is settled by its own start
+    while len(low):
+        whole = s_high <= low - window
+        mark(low[whole], high[whole])
+        none = s_low > high - window
+        near = ~whole & ~none & (high - low <= 1)
+        for end, start in ((low[near], s_low[near]), (high[near], s_high[near])):
+            good = start <= end - window
+            mark(end[good], end[good])
+        on = ~whole & ~none & ~near
+        begin, own, low, high, s_low, s_high = (v[on] for v in (begin, own, low, high, s_low, s_high))
+        mid = (low + high) // 2
+        s_mid = index.starts(flat, begin, mid, own) if len(mid) else mid
+        begin, own = np.r_[begin, begin], np.r_[own, own]
+        low, high, s_low, s_high = np.r_[low, mid], np.r_[mid, high], np.r_[s_low, s_mid], np.r_[s_mid, s_high]
+    return np.cumsum(hit[:-1]) > 0
 
 
 def earlier_documents(contents: list[bytes], docs: list[int], starts: list[int], u: Units) -> list[np.ndarray]:
@@ -109,23 +158,9 @@ def earlier_documents(contents: list[bytes], docs: list[int], starts: list[int],
     numbers: dict[bytes, int] = {}
     rows = [np.array([numbers.setdefault(w, len(numbers) + 2) for w in c.split(b" ")], np.int64) for c in contents]
     index = FMIndex(rows, docs)
-    flat = np.concatenate(rows)
     base = np.r_[0, np.cumsum([len(r) for r in rows])]
-    count = [len(r) - u.window + 1 for r in rows]
-    own = np.repeat(np.arange(len(rows)), count)
-    end = np.concatenate([base[i] + np.arange(k) + u.window for i, k in enumerate(count)])
-    hit = np.zeros(len(own), bool)
-    for s in range(0, len(own), 50_000):  # windows streamed in bounded numbers
-        e, o = end[s : s + 50_000], own[s : s + 50_000]
-        lo, hi = np.zeros(len(e), np.int64), np.full(len(e), index.n, np.int64)
-        left = np.arange(s, s + len(e))
-        for k in range(1, u.window + 1):
-            lo, hi = index.extend(lo, hi, flat[e - k])
-            more = hi - lo > 1  # what stands once in the shard, stands nowhere else
-            if k % 4 == 0 and not more.all():
-                lo, hi, e, o, left = lo[more], hi[more], e[more], o[more], left[more]
-        hit[left] = index.least_owner(lo, hi) < np.asarray(docs, np.int64)[o]
-    return np.split(hit, np.cumsum(count)[:-1])
+    hit = matches(index, np.concatenate(rows), base, np.searchsorted(index.owners, docs), u.window)
+    return [hit[a : b - u.window + 1] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
 
 
 def split_words(text: str) -> tuple[np.ndarray, list[str]]:
@@ -134,7 +169,7 @@ def split_words(text: str) -> tuple[np.ndarray, list[str]]:
 
 
 def word_units(window: int = 50) -> Units:
-    return Units(split_words, lambda w, a, b: " ".join(w[a:b]).encode(), window, 8, within=False)
+    return Units(split_words, lambda w, a, b: " ".join(w[a:b]).encode(), lambda h, w, a, b: h[a:b].tobytes(), window, 8, within=False)
 
 
 def repeated_words(docs: DataFrame, window: int = 50) -> DataFrame:

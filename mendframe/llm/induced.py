@@ -340,7 +340,7 @@ def split_bytes(text: str) -> tuple[np.ndarray, bytes]:
 
 
 def byte_units(window: int = 100) -> Units:
-    return Units(split_bytes, lambda raw, a, b: raw[a:b], window, 32, within=True)
+    return Units(split_bytes, lambda raw, a, b: raw[a:b], lambda h, raw, a, b: raw[a:b], window, 32, within=True)
 
 
 def repeated_bytes(docs: DataFrame, window: int = 100) -> DataFrame:

@@ -4,10 +4,10 @@ A document is a row of units (bytes or words). A window is W units in a row. Eac
 hash (the leftmost of equals); the windows of one anchor in a row are a segment. Equal windows have equal anchors at equal
 distances, so only segments with equal anchors can hold equal windows:
 
-1. anchors are counted (partial sums first); those found once are settled. The others go to a bitmap of fixed size, which only lets
-   a few more through when it fills up;
-2. segments of anchors in the bitmap are written with a fingerprint and place. Of equal segments the first in order is the
-   representative; the others are repeats as a whole, however many they are;
+1. all segments are written with anchor, place and fingerprint, and anchors are counted (partial sums first); those found once are
+   settled. The others go to a bitmap sized by their number, up to a bound; beyond it the bitmap only lets a few more through;
+2. of equal segments of anchors in the bitmap the first in order is the representative; the others are repeats as a whole, however
+   many they are;
 3. where an anchor has several different segments, representatives of them are read again with their content and dealt to shards
    by anchor; a shard builds an index over its content and reports the windows that stand earlier. Anchors with over HOT different
    segments never meet in a task: their windows are settled by fingerprints, with partial minima before the shuffle.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, map_arrow, same, sent, table, texts
+from .common import drop_tables, free, map_arrow, same, sent, table, texts
 from .streams import bitmap, in_bitmap, mixed, runs
 
 HOT, SHARD_BYTES, NULL_ID = 2000, 1 << 20, -(2**63)
@@ -37,10 +37,11 @@ HOT, SHARD_BYTES, NULL_ID = 2000, 1 << 20, -(2**63)
 
 @dataclass(frozen=True)
 class Units:
-    """What a text is made of: split gives (hash of each unit, its content), part the content of units [a, b)."""
+    """What a text is made of: split gives (hash of each unit, its content), part(content, a, b) the content of units [a, b), mark(hashes, content, a, b) bytes that stand for it in fingerprints."""
 
     split: Callable
     part: Callable
+    mark: Callable
     window: int
     gram: int
     #: Whether a window of the same document, further left, counts as earlier.
@@ -75,48 +76,44 @@ def segments(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return first, np.diff(np.r_[first, n]), mixed(g[at[first]], 21)
 
 
-def _place(anchor: np.ndarray, doc: int, start: np.ndarray) -> np.ndarray:
-    return mixed(anchor ^ mixed(start.astype(np.uint64) + mixed(np.array([doc & (2**64 - 1)], np.uint64), 11), 12), 13)
+def _place(anchor: np.ndarray, doc, start: np.ndarray) -> np.ndarray:
+    return mixed(anchor ^ mixed(start.astype(np.uint64) + mixed(np.atleast_1d(np.asarray(doc, np.int64)).view(np.uint64), 11), 12), 13)
 
 
-def _print(content: bytes) -> tuple[int, int]:
+def _prints(u: Units, h: np.ndarray, content, spans) -> np.ndarray:
+    """128-bit fingerprints of spans, as two columns of longs."""
     import xxhash
 
-    d = xxhash.xxh3_128_intdigest(content)
-    return (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(u.mark(h, content, a, b)) for a, b in spans]), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def _anchors(u: Units):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, docs = [], []
-            for d, x in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
-                if (s := segments(u.split(x)[0], u.window, u.gram)) is not None:
-                    own = s[2] if u.within else np.unique(s[2])
-                    found.append(own)
-                    docs.append(np.full(len(own), d, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(docs))], ["anchor", "doc_id"])
-
-    return run
+def _segments(u: Units):
+    """Every segment with its anchor, fingerprint and place."""
 
-
-def _segments(u: Units, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(5)]
             for d, x in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 h, content = u.split(x)
                 if (s := segments(h, u.window, u.gram)) is None:
                     continue
                 first, n, anchor = s
-                on = in_bitmap(bits, anchor)
-                first, n, anchor = first[on], n[on], anchor[on]
-                prints = [_print(u.part(content, a, a + k + u.window - 1)) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
-                for c, v in zip(cols, (anchor.view(np.int64), np.array([p[0] for p in prints], np.int64), np.array([p[1] for p in prints], np.int64), np.full(len(n), d, np.int64), first, n, _place(anchor, d, first).view(np.int64)), strict=True):
+                prints = _prints(u, h, content, zip(first.tolist(), (first + n + u.window - 1).tolist(), strict=True))
+                for c, v in zip(cols, (anchor.view(np.int64), prints, np.full(len(n), d, np.int64), first, n), strict=True):
                     c.append(v)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["anchor", "f1", "f2", "doc_id", "start", "n", "place"])
+                anchor, prints, doc, first, n = (np.concatenate(c) for c in cols)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (anchor, prints[:, 0], prints[:, 1], doc, first, n)], ["anchor", "f1", "f2", "doc_id", "start", "n"])
+
+    return run
+
+
+def _often(bits: np.ndarray):
+    """The segments whose anchor is in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(bits, b.column("anchor").to_numpy())))
 
     return run
 
@@ -136,19 +133,28 @@ def _contents(u: Units, wanted: np.ndarray, hot: np.ndarray, anchors: np.ndarray
                 first, n, anchor = s
                 on = in_bitmap(anchors, anchor)
                 on &= in_bitmap(wanted, _place(anchor, d, first))
-                for a, k, key, warm in zip(first[on].tolist(), n[on].tolist(), anchor[on].view(np.int64).tolist(), in_bitmap(hot, anchor[on]).tolist(), strict=True):
-                    whole = u.part(content, a, a + k + u.window - 1)
-                    f = _print(whole)
+                first, n, anchor = first[on], n[on], anchor[on]
+                prints = _prints(u, h, content, zip(first.tolist(), (first + n + u.window - 1).tolist(), strict=True)).tolist()
+                for a, k, key, f, warm in zip(first.tolist(), n.tolist(), anchor.view(np.int64).tolist(), prints, in_bitmap(hot, anchor).tolist(), strict=True):
                     if warm:
-                        rows += [(key, *f, d, a, k, i, *_print(u.part(content, a + i, a + i + u.window)), None) for i in range(k)]
+                        single = _prints(u, h, content, [(a + i, a + i + u.window) for i in range(k)]).tolist()
+                        rows += [(key, *f, d, a, k, i, *w, None) for i, w in enumerate(single)]
                     else:
-                        rows.append((key, *f, d, a, k, None, None, None, whole))
+                        rows.append((key, *f, d, a, k, None, None, None, u.part(content, a, a + k + u.window - 1)))
             if rows:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:9]), pa.array([r[9] for r in rows], pa.binary())], names)
 
     return run
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the hash of anchor, document and start by which chosen segments are found again."""
+    for b in batches:
+        anchor, doc, start = (b.column(c).to_numpy() for c in ("anchor", "doc_id", "start"))
+        place = _place(anchor.view(np.uint64), doc, start)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place.view(np.int64))], [*b.schema.names, "place"])
+
+
 def _shard(u: Units, earlier: Callable):
     """Segments of a shard -> ranges of windows that stand earlier: (anchor, f1, f2, lo, hi)."""
 
@@ -179,12 +185,15 @@ def repeated_ranges(docs: DataFrame, u: Units, earlier: Callable) -> DataFrame:
 
     earlier(contents, docs, starts, u) tells for each segment, given in order, which of its windows stand earlier among them.
     """
-    key = ["anchor", "f1", "f2"]
-    counted = map_arrow(docs, _anchors(u), "anchor long, doc_id long").groupBy("anchor")
+    key, kind = ["anchor", "f1", "f2"], "anchor long, f1 long, f2 long, doc_id long, start long"
+    every = table(map_arrow(docs, _segments(u), f"{kind}, n long"), "all-segments")
+    counted = every.groupBy("anchor")
     often = counted.agg(F.count(F.lit(1)).alias("n")).where("n > 1") if u.within else counted.agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
-    bits = bitmap(often, F.col("anchor"))
-    found = table(map_arrow(docs, _segments(u, bits), "anchor long, f1 long, f2 long, doc_id long, start long, n long, place long"), "segments")
-    first = table(found.groupBy(key).agg(F.min(F.struct("doc_id", "start", "place")).alias("r")).select(*key, "r.doc_id", "r.start", "r.place"), "first-segments")
+    bits = bitmap(table(often.select("anchor"), "often"), F.col("anchor"))
+    found = table(map_arrow(every, _often(bits), f"{kind}, n long"), "segments")
+    drop_tables(docs.sparkSession, every)
+    first = found.groupBy(key).agg(F.min(F.struct("doc_id", "start")).alias("r")).select(*key, "r.doc_id", "r.start")
+    first = table(map_arrow(first, _placed, f"{kind}, place long"), "first-segments")
     several = table(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     apart = first.join(several.select(F.col("anchor").alias("_a")), F.col("anchor") == F.col("_a"), "left_semi")
     wanted, hot, owners = bitmap(apart, F.col("place")), bitmap(several.where(F.col("n") > HOT), F.col("anchor")), bitmap(apart, F.xxhash64("doc_id"))
@@ -192,8 +201,7 @@ def repeated_ranges(docs: DataFrame, u: Units, earlier: Callable) -> DataFrame:
     size = rows.where("content is not null").agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("b")).first().b
     shards = max(1, -(-size // SHARD_BYTES))
     cold = rows.where("content is not null").withColumn("shard", F.pmod(F.xxhash64(F.lit(23), "anchor"), F.lit(shards)))
-    kind = "anchor long, f1 long, f2 long, lo long, hi long"
-    ranges = runs(cold, ["shard"], _shard(u, earlier), kind)
+    ranges = runs(cold, ["shard"], _shard(u, earlier), "anchor long, f1 long, f2 long, lo long, hi long")
     warm = rows.where("content is null").withColumn("at", F.struct("doc_id", F.expr("start + off").alias("s")))
     least = warm.groupBy("w1", "w2").agg(F.min("at").alias("least")).select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "least")
     late = F.col("least") < F.col("at") if u.within else F.col("least.doc_id") < F.col("doc_id")

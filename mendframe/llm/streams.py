@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_tables, map_arrow, table
 
-#: Bits of a bitmap filter, at any input size: 8 MB. A fuller bitmap only lets more rows through.
-BITMAP_BITS = 26
+#: Bits of a bitmap filter, at most: 2^27, 16 MB. A fuller bitmap only lets more rows through.
+MOST_BITS = 27
 
 
 #: Rows of a result that runs() gathers before it sends them on.
@@ -81,17 +81,18 @@ def mixed(a: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def bitmap(df: DataFrame, key: Column) -> np.ndarray:
-    """Bitmap (64-bit words) of the top BITMAP_BITS bits of a 64-bit hash column, gathered as at most 2^20 words of 64 bits: bounded at any input size."""
-    at = F.shiftrightunsigned(key, 64 - BITMAP_BITS)
+    """Bitmap (64-bit words) of the top bits of a 64-bit hash column of a table: 16 bits or more a row, but 2^MOST_BITS at most. It is gathered as words of 64 bits, so it is bounded at any input size."""
+    width = min(max(int(df.count() * 16).bit_length(), 12), MOST_BITS)
+    at = F.shiftrightunsigned(key, 64 - width)
     words = df.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out = np.zeros(1 << (width - 6), np.int64)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     return out
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For uint64 or int64 hashes: whether their bit is set."""
-    p = keys.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    p = keys.view(np.uint64) >> np.uint64(64 - (6 + len(bits).bit_length() - 1))
     return ((bits.view(np.uint64)[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
