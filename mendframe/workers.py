@@ -1,10 +1,11 @@
-"""What Python workers need to run this package's functions, wherever they start."""
+"""What tasks share with the driver: the package's files, and a folder."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,14 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top.parent))
     sc.addPyFile(f"{held}/{top.name}.zip")
     sc._mendframe_shipped = True
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder that driver and executors share: under spark.checkpoint.dir, or under a new local folder where that is unset and the session is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='mendframe-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -59,7 +59,50 @@ def test_resolve(spark, folder):
     assert "unreadable" in readers.inventory(spark, str(folder))
     assert [s.name for s in readers.resolve(spark, str(folder / "*.tsv"))] == ["tabs.tsv"]
     with pytest.raises(readers.SourceError):
-        list(readers.resolve(spark, str(folder / "missing.csv")))
+        list(readers.resolve(spark, str(folder / "missing.csv"), on_error="raise"))
+    missing = [str(folder / "missing.csv"), str(folder / "tabs.tsv")]
+    assert [s.kind for s in readers.resolve(spark, missing)] == ["unreadable", "tsv"] and [s.kind for s in readers.resolve(spark, missing, on_error="skip")] == ["tsv"]
+
+
+def test_line_breaks_in_quotes_beyond_the_head(spark, tmp_path):
+    """Rows of the right width wherever the first quoted line break stands, and however blocks cut the file."""
+    import csv
+
+    rows = [[str(i), f"plain {i}", "5\" pipe" if i % 7 == 0 else "x"] for i in range(6000)]
+    rows += [[str(i), f"two\nlines, {i}", f"a \"quoted\" word\n\n{i}"] if i % 3 == 0 else [str(i), "one", "z"] for i in range(6000, 6600)]
+    with (tmp_path / "late.csv").open("w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows([["id", "note", "more"], *rows])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "9k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            s = readers.read_delimited(spark, str(tmp_path / "late.csv"))
+            assert s.header == ["id", "note", "more"] and [list(r.fields) for r in s.rows.orderBy("row_id").collect()] == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "literal.csv").write_text("a,b,c\n" + '1,5" pipe,x\n' * 200)
+    assert {tuple(r.fields) for r in readers.read_delimited(spark, str(tmp_path / "literal.csv")).rows.collect()} == {("1", '5" pipe', "x")}
+
+
+def test_json_keeps_characters_and_tells_lines(spark, tmp_path):
+    (tmp_path / "n.json").write_text(json.dumps({"items": [{"a": {"b": "JosÃ©"}}]}, ensure_ascii=False))
+    s = readers.open_source(spark, str(tmp_path / "n.json"))[0]
+    assert s.rows.first().fields == ['{"b": "JosÃ©"}'] and s.notes == ["records taken from 'items'"]
+    (tmp_path / "n.jsonl").write_text('{"a": 1}\n{"a": 2}\n\nnot json\n{"a": 3}\n[1]\n')
+    assert readers.open_source(spark, str(tmp_path / "n.jsonl"))[0].notes == ["2 lines skipped: not JSON objects (line 4, 6)"]
+
+
+def test_bytes_in_memory(spark):
+    [s] = readers.from_bytes(spark, "a;b\n1;é\n2;é\n3;é\n".encode("cp1252"), "x.csv")
+    assert (s.kind, s.encoding, s.delimiter, s.rows.count()) == ("csv", "cp1252", ";", 3)
+    [u] = readers.from_bytes(spark, "a,b\n1,2\n3,4\n5,6\n".encode("utf-16-be"), "y.csv")
+    assert (u.encoding, u.header) == ("utf-16-be", ["a", "b"]) and [r.fields for r in u.rows.orderBy("row_id").collect()] == [["1", "2"], ["3", "4"], ["5", "6"]]
+
+
+def test_skipped_files():
+    assert not any(detect.is_data(f"d/{n}", 9) for n in ("notes.md", "run.log", "a.rst", "b.bat", "c.ps1", "d.dylib", ".gitignore", "LICENSE.txt")) and detect.is_data("d/notes.txt", 9)
 
 
 def vendor_file(path, n=200):
