@@ -9,12 +9,12 @@ SPACE_CLASS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 
 # UTF-8 read as Latin-1 or Windows-1252.
 MOJIBAKE_MARKERS = (
-    "\xc3\xa1", "\xc3\xa9", "\xc3\xad", "\xc3\xb3", "\xc3\xba", "\xc3\xb1", "\xc3\xbc", "\xc3\xa4", "\xc3\xb6", "\xc3 ", "\xc3\xa8",
-    "\xe2€™", "\xe2€œ", "\xe2€", "\xe2€“", "\xe2€”", "\xe2€\xa6",
-    "\xc2\xa3", "\xc2\xa9", "\xc2\xae", "\xc2\xb0", "\xc2 ", "\xc3‰", "\xc3–", "\xc3œ", "\xef\xbb\xbf",
+    "Ã¡", "Ã©", "Ã\xad", "Ã³", "Ãº", "Ã±", "Ã¼", "Ã¤", "Ã¶", "Ã ", "Ã¨", "â€™",
+    "â€œ", "â€", "â€“", "â€”", "â€¦", "Â£", "Â©", "Â®", "Â°", "Â ", "Ã‰", "Ã–",
+    "Ãœ", "ï»¿",
 )
 #: The wider markers that repair and streaming look for.
-REPAIR_MARKERS = ("\xc3", "\xc2", "\xe2€", "\xef\xbb\xbf")
+REPAIR_MARKERS = ("Ã", "Â", "â€", "ï»¿")
 STREAM_MARKERS = (*REPAIR_MARKERS, "�")
 
 # Strings that stand for a missing value.
@@ -46,14 +46,15 @@ SHORT_WORDS = tuple(
     eq cf ca vol""".split()
 )
 
-# What a spreadsheet made of gene symbols, by month: symbol, and the days it stands for.
-GENE_DAYS = {
-    "Mar": ("MARCH", (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)),
-    "Sep": ("SEPT", (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15)),
-    "Dec": ("DEC", (1, 2)),
-    "Oct": ("OCT", (1, 2, 3, 4, 6, 11)),
-}
-GENES = {f"{day}-{month}": f"{symbol}{day}" for month, (symbol, days) in GENE_DAYS.items() for day in days}
+# Gene symbols by what a spreadsheet made of them.
+GENES = {
+    "1-Mar": "MARCH1", "2-Mar": "MARCH2", "3-Mar": "MARCH3", "4-Mar": "MARCH4", "5-Mar": "MARCH5", "6-Mar": "MARCH6", "7-Mar": "MARCH7", "8-Mar": "MARCH8",
+    "9-Mar": "MARCH9", "10-Mar": "MARCH10", "11-Mar": "MARCH11",
+    "1-Sep": "SEPT1", "2-Sep": "SEPT2", "3-Sep": "SEPT3", "4-Sep": "SEPT4", "5-Sep": "SEPT5", "6-Sep": "SEPT6", "7-Sep": "SEPT7", "8-Sep": "SEPT8",
+    "9-Sep": "SEPT9", "10-Sep": "SEPT10", "11-Sep": "SEPT11", "12-Sep": "SEPT12", "14-Sep": "SEPT14", "15-Sep": "SEPT15",
+    "1-Dec": "DEC1", "2-Dec": "DEC2",
+    "1-Oct": "OCT1", "2-Oct": "OCT2", "3-Oct": "OCT3", "4-Oct": "OCT4", "6-Oct": "OCT6", "11-Oct": "OCT11",
+}
 
 # Field lengths at which other systems cut.
 LENGTH_LIMITS = (50, 100, 128, 200, 255, 256, 500, 512, 1000, 1024)

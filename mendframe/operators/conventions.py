@@ -45,7 +45,9 @@ def audit_cell_conventions(long: DataFrame, dominance: float = V.THRESHOLDS["dom
         top = F.create_map(*(F.lit(x) for kv in broken.items() for x in kv))
         off = long.where(F.col("col_idx").isin(*broken) & ~C.is_blank(F.col("v"))).withColumn("shape", C.shape(F.col("v"))).where(F.col("shape") != F.element_at(top, F.col("col_idx")))
         rare = counts.where(F.col("col_idx").isin(*broken)).select("col_idx", "shape", (F.col("n") < t["isolation"]).alias("rare"))
-        off = off.join(rare, ["col_idx", "shape"]).withColumn("some", F.max("rare").over(Window.partitionBy("col_idx")))
+        # whether a column has a rare shape is asked of its shapes, not of its cells
+        some = rare.join(F.broadcast(spark.createDataFrame(list(broken.items()), "col_idx int, top string")), "col_idx").where("shape <> top").groupBy("col_idx").agg(F.max("rare").alias("some"))
+        off = off.join(rare, ["col_idx", "shape"]).join(F.broadcast(some), "col_idx")  # a row per column
         own = off.where(F.col("rare") | ~F.col("some")).withColumn("k", F.row_number().over(Window.partitionBy("col_idx").orderBy("row_key", "v"))).where("k <= 5")
         for r in sorted(own.select("col_idx", "k", F.format_string("'%s' (shape '%s')", "v", "shape").alias("s")).collect(), key=lambda r: (r.col_idx, r.k)):
             found.setdefault(r.col_idx, []).append(r.s)

@@ -30,9 +30,12 @@ def odd_sources(headers: DataFrame) -> DataFrame:
 
 def audit_headers(headers: DataFrame) -> DataFrame:
     """One audit row, subject ``across files``; findings need two tables or more."""
-    keys = field_spellings(headers).agg(F.count(F.lit(1)).alias("fields"), F.slice(F.array_sort(F.collect_list(F.array_join("spellings", " / "))), 1, 5).alias("spelt"))
-    odd = odd_sources(headers).agg(F.count(F.lit(1)).alias("odd"), F.slice(F.array_sort(F.collect_list("source")), 1, 5).alias("who"))
-    row = headers.agg(F.count(F.lit(1)).alias("units")).join(keys, how="cross").join(odd, how="cross")  # one row each
+    spelt, odd = field_spellings(headers).select(F.array_join("spellings", " / ").alias("x")), odd_sources(headers).select(F.col("source").alias("x"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    first = lambda df, name: df.orderBy("x").limit(5).agg(F.array_sort(F.collect_list("x")).alias(name))
+    row = count(headers, "units")
+    for one in (count(spelt, "fields"), first(spelt, "spelt"), count(odd, "odd"), first(odd, "who")):
+        row = row.join(one, how="cross")  # one row each
     found = M.gather(
         F.when((F.col("units") > 1) & (F.col("fields") > 0), M.finding("inconsistent_headers", M.SUSPECT, F.col("fields"), None, F.format_string("%d fields are named differently across files", "fields"), F.col("spelt"), "across files")),
         F.when((F.col("units") > 1) & (F.col("odd") > 0), M.finding("odd_file_out", M.SUSPECT, F.col("odd"), None, F.format_string("%d files have another layout than the rest", "odd"), F.col("who"), "across files")),

@@ -79,11 +79,11 @@ def plural(n: int, noun: str) -> str:
     return f"{n:,} {noun}" if n == 1 else f"{n:,} {noun}s"
 
 
-def summarise(audits: DataFrame) -> DataFrame:
-    """One row: severity, artifacts, artifacts_judged, confidence, modes (mode -> count), flagged (subjects with findings, sorted).
+def summarise(audits: DataFrame, flagged: bool = True) -> DataFrame:
+    """One row: severity, artifacts, artifacts_judged, confidence, modes (mode -> count), flagged (subjects with findings, sorted; empty if not asked for).
 
     The mean confidence is over judged artifacts, or over all if none was judged, rounded to three places; 1 for no artifact.
-    flagged grows with the number of flagged artifacts; for many use ``audits.where(size(findings) > 0)``.
+    flagged grows with the number of flagged artifacts; for many leave it out and use ``audits.where(size(findings) > 0)``.
     """
     modes = exploded(audits).groupBy("mode").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mode", "n")))).alias("modes"))
     judged = F.count_if("judged")
@@ -93,7 +93,7 @@ def summarise(audits: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("artifacts"),
         F.when(judged > 0, judged).otherwise(F.count(F.lit(1))).alias("artifacts_judged"),
         F.coalesce(F.round(mean, 3), F.lit(1.0)).alias("confidence"),
-        F.array_sort(F.collect_list(F.when(F.size("findings") > 0, F.col("subject")))).alias("flagged"),
+        (F.array_sort(F.collect_list(F.when(F.size("findings") > 0, F.col("subject")))) if flagged else F.array().cast("array<string>")).alias("flagged"),
     )
     return rolled.join(modes, how="cross")  # one row on each side
 
@@ -104,7 +104,7 @@ def worst_first(audits: DataFrame) -> DataFrame:
 
 def report(audits: DataFrame, limit: int = 50) -> str:
     """The worst artifacts as text; only ``limit`` rows come to the driver."""
-    s = summarise(audits.select("subject", "judged", "findings", "severity", "confidence").withColumn("subject", F.lit(""))).first()
+    s = summarise(audits, flagged=False).first()
     lines = [f"{s.severity}: {plural(s.artifacts, 'artifact')}, {s.artifacts_judged} judged, confidence {s.confidence:.3f}"]
     for r in worst_first(audits).limit(limit).collect():
         state = f"{r.severity}, confidence {r.confidence:.2f}" if r.judged else "not judged: too little data"

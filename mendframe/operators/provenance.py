@@ -38,11 +38,20 @@ class Annotated:
         return self.notes.groupBy("mode", "action").agg(F.count(F.lit(1)).alias("cells"))
 
 
+def _limits(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """The length at which each of these columns was cut: that of its longest filled cell."""
+    if not columns:
+        return {}
+    cells = {c: C.cell(F.col(f"`{c}`")) for c in columns}
+    row = df.agg(*(F.max(F.when(~C.is_blank(v), F.length(v))).alias(f"n{i}") for i, v in enumerate(cells.values()))).first()
+    return {c: row[i] for i, c in enumerate(columns) if row[i]}
+
+
 def annotate(df: DataFrame, audits: DataFrame, order_by: str, allow_lossy: bool = False) -> Annotated:
     """df: text columns and a row key. Each changed cell is noted with the repair that changed it last; evidence of a refused mode is noted as it stands."""
     fixed = R.repair_columns(df, audits, allow_lossy, order_by)
     widths = R.modal_widths(df, [c for c, m in fixed.modes.items() if "leading_zero_loss" in m], order_by) if allow_lossy else {}
-    parts = []
+    parts, limits = [], _limits(df, [c for c, m in fixed.modes.items() if "truncation" in m])
     for c, modes in fixed.modes.items():
         v = C.cell(F.col(f"`{c}`"))
         steps = R.steps(c, modes, widths)
@@ -52,8 +61,7 @@ def annotate(df: DataFrame, audits: DataFrame, order_by: str, allow_lossy: bool
             parts.append(F.when(v != final, F.struct(F.lit(c).alias("column"), v.alias("original"), final.alias("value"), mode.alias("mode"))))
         for m in modes:
             if m in V.IRRECOVERABLE:
-                limits = V.LENGTH_LIMITS
-                on = {"excel_date_corruption": C.is_excel_date(v), "truncation": F.length(v).isin(*limits)}.get(m)
+                on = {"excel_date_corruption": C.is_excel_date(v), "truncation": F.length(v) == limits.get(c, -1)}.get(m)
                 if on is not None:
                     parts.append(F.when(on, F.struct(F.lit(c).alias("column"), v.alias("original"), v.alias("value"), F.lit(m).alias("mode"))))
     kind = "array<struct<column:string,original:string,value:string,mode:string>>"

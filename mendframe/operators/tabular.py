@@ -173,16 +173,18 @@ def audit_columns(df: DataFrame, columns: list[str] | None = None, order_by: str
 # --- the table as a whole --------------------------------------------------------
 
 
-def ragged_rows(rows: DataFrame, width: int, t: dict[str, float] | None = None) -> DataFrame:
-    """One audit of rows(fields) whose number of fields isn't ``width``; its row exists even if there is no finding."""
+def ragged_rows(rows: DataFrame, width: int, t: dict[str, float] | None = None, order_by: str | None = None) -> DataFrame:
+    """One audit of rows(fields) whose number of fields isn't ``width``; its row exists even if there is no finding. With a row key, the first five such rows are its evidence."""
     t = thresholds(t)
     off = F.size("fields") != width
     metrics = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(off).alias("off"))
     rate = F.try_divide(F.col("off").cast("double"), F.col("n").cast("double"))
     bad = rate >= t["ragged_corrupt"]
+    first = rows.where(off).orderBy(order_by).select(order_by, F.size("fields").alias("c")).limit(5).collect() if order_by else []  # a top-k, not a sort
+    samples = [f"row {k.line if hasattr(k := r[0], 'line') else k}: {r.c} fields" for r in first]
     found = F.when(
         (F.col("off") > 0) & (rate >= t["ragged_suspect"]),
-        M.finding("ragged_rows", F.when(bad, M.CORRUPT).otherwise(M.SUSPECT), rate, F.when(bad, t["ragged_corrupt"]).otherwise(t["ragged_suspect"]), F.format_string("%d of %d rows have another number of fields than the header", "off", "n"), location="table structure"),
+        M.finding("ragged_rows", F.when(bad, M.CORRUPT).otherwise(M.SUSPECT), rate, F.when(bad, t["ragged_corrupt"]).otherwise(t["ragged_suspect"]), F.format_string("%d of %d rows have another number of fields than the header", "off", "n"), F.array(*map(F.lit, samples)).cast("array<string>"), "table structure"),
     )
     return M.scored(metrics.select(F.lit("table structure").alias("subject"), F.col("n").alias("units"), F.lit(True).alias("judged"), M.gather(found).alias("findings")))
 
@@ -198,7 +200,7 @@ def duplicate_columns(spark, header: list[str]) -> DataFrame:
 def audit_rows(rows: DataFrame, header: list[str], order_by: str | None = None, own_thresholds: dict[str, float] | None = None) -> DataFrame:
     """All audits of a table given as rows(fields): structure and header if they have findings, then every column."""
     keep = ["subject", "units", "judged", "findings", "severity", "confidence"]
-    whole = ragged_rows(rows, len(header), own_thresholds).select(keep).unionByName(duplicate_columns(rows.sparkSession, header).select(keep))
+    whole = ragged_rows(rows, len(header), own_thresholds, order_by).select(keep).unionByName(duplicate_columns(rows.sparkSession, header).select(keep))
     columns = audit_cells(field_cells(rows, header, order_by), own_thresholds).select(keep)
     return whole.where(F.size("findings") > 0).unionByName(columns)
 

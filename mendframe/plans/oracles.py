@@ -179,7 +179,12 @@ CLASSES = "[" + ", ".join(rf"struct_pack(signature := '{c}', rate := CAST({count
 EVENTS = "SELECT event_id, CAST(event_id AS VARCHAR) AS a, CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END AS b, concat(event_id % 900 + 1, lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0')) AS c, event_id % 7 = 0 AS missing FROM events"
 
 
-def oracle_sql() -> dict[str, str]:
+def thousands(n: str) -> str:
+    """A count with commas, as text."""
+    return f"format('{{{{:,}}}}', CAST({n} AS BIGINT))".replace("{{", "{").replace("}}", "}")
+
+
+def base_sql() -> dict[str, str]:
     docs = features(DOCS, "subject")
     damaged = features(f"SELECT CAST(doc_id AS VARCHAR) AS subject, coalesce(text, '') AS x FROM ({D.DAMAGED_SQL})", "subject")
     turns = features("SELECT conv_id AS doc, turn AS page_no, coalesce(text, '') AS x FROM conversations", "doc, page_no")
@@ -205,7 +210,7 @@ def oracle_sql() -> dict[str, str]:
 SELECT col AS "column", mode, samples FROM ev JOIN cf USING (col, mode)""",
         "tabular_severity": f'{AUDITED} SELECT col AS "column", units, judged, severity, round(confidence, 6) AS confidence FROM a',
         "audit_summary": f"{AUDITED} SELECT {NAMED(f'max({RANK})')} AS severity, count(*) AS artifacts, count(*) FILTER (judged) AS artifacts_judged, round(avg(confidence) FILTER (judged), 3) AS confidence, string_agg('column ' || col, ',' ORDER BY 'column ' || col) FILTER (c > 0) AS flagged FROM a",
-        "lineitem_audit": f"WITH l AS (SELECT 0 AS row_key, i AS k, c AS col, v FROM (SELECT unnest([0, 1, 2, 3, 4]) AS i, unnest(['l_orderkey', 'l_partkey', 'l_quantity', 'l_returnflag', 'l_linestatus']) AS c, unnest([CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_quantity AS VARCHAR), l_returnflag, l_linestatus]) AS v FROM lineitem)), {METRICS} SELECT col AS \"column\", n, m, mojibake, formatted, nullish, excel, digits, padded FROM m",
+        "lineitem_audit": f"WITH l AS (SELECT 0 AS row_key, i AS k, c AS col, v FROM (SELECT unnest({list(range(len(D.LINEITEM)))}) AS i, unnest({D.LINEITEM}) AS c, unnest([{', '.join(f'CAST({c} AS VARCHAR)' for c in D.LINEITEM)}]) AS v FROM lineitem)), {METRICS} SELECT col AS \"column\", n, m, mojibake, formatted, nullish, excel, digits, padded FROM m",
         "ragged_audit": f"WITH r AS ({D.RAGGED_SQL}), c AS (SELECT count(*) FILTER (len(fields) <> 3) / count(*) AS rate FROM r) SELECT 'table structure' AS subject, 'ragged_rows' AS mode, CASE WHEN rate >= 0.01 THEN 'corrupt' ELSE 'suspect' END AS severity, rate AS metric, CASE WHEN rate >= 0.01 THEN 0.01 ELSE 0.001 END::DOUBLE AS threshold FROM c WHERE rate >= 0.001",
         "table_features": f"WITH r AS ({D.RAGGED_SQL}), l AS (SELECT unnest(fields) AS v FROM r), c AS (SELECT count(*) FILTER ({MOJIBAKE}) / count(*) AS mojibake_rate, count(*) FILTER (v IN {_in(V.NULL_LIKE_AUDIT)}) / count(*) AS null_string, CAST(count(*) FILTER ({EXCEL}) AS DOUBLE) AS excel_date FROM l) SELECT count(*) AS units, count(*) >= 30 AS judged, any_value(mojibake_rate) AS mojibake_rate, any_value(null_string) AS null_string, count(*) FILTER (len(fields) <> 3) / count(*) AS ragged, any_value(excel_date) AS excel_date FROM r CROSS JOIN c",
         "duplicate_headers": "WITH h AS (SELECT unnest(range(5)) AS pos, unnest(['id', 'name', 'id', 'amount', 'name']) AS name) SELECT pos, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || '__' || row_number() OVER (PARTITION BY name ORDER BY pos) ELSE name END AS name FROM h",
@@ -253,3 +258,9 @@ SELECT *, CASE WHEN fired = 0 OR (fired >= 30 AND agreed = 0) THEN 'retire' WHEN
         "stream_quarantine": "SELECT CAST(event_id AS VARCHAR) AS event_id, 'field count mismatch' AS reason FROM events WHERE event_id % 100 = 0",
         "stream_column_stats": f"WITH e AS ({EVENTS}), k AS (SELECT * FROM e WHERE event_id % 100 <> 0), n AS (SELECT count(*) AS n, count(*) FILTER (missing) AS x FROM k) SELECT 'column event_id' AS subject, n AS units, 'numeric_as_text' AS mode, 'suspect' AS severity, CAST(1.0 AS DOUBLE) AS metric, CAST(0.95 AS DOUBLE) AS threshold FROM n UNION ALL SELECT 'column value', n, 'numeric_as_text', 'suspect', 1.0, 0.95 FROM n UNION ALL SELECT 'column event_type', n, 'null_as_string', 'suspect', x / n, 0.01 FROM n",
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    from . import file_oracles
+
+    return base_sql() | file_oracles.oracle_sql()

@@ -13,6 +13,7 @@ from ..functions import values as V
 from ..operators import conventions, crossfile, learning, mining, profiles, provenance, repair, tabular, text
 from ..operators import model as M
 from ..sources import catalog
+from ..workers import new_folder
 from . import tables as D
 from .solve import solve_rows
 
@@ -123,7 +124,7 @@ def audit_summary(spark, sf_dir):
 @query
 def lineitem_audit(spark, sf_dir):
     """All columns of the largest table."""
-    m = tabular.column_metrics(tabular.cells(catalog.as_text(D.table(spark, sf_dir, "lineitem")), ["l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"]))
+    m = tabular.column_metrics(tabular.cells(catalog.as_text(D.table(spark, sf_dir, "lineitem")), D.LINEITEM))
     return m.select("column", "n", "m", "mojibake", "formatted", "nullish", "excel", "digits", "padded")
 
 
@@ -363,20 +364,6 @@ def detector_utility(spark, sf_dir):
 # --- streaming ---------------------------------------------------------------------
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='mendframe-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, sf_dir: str):
     from ..streaming import stats
 
@@ -386,7 +373,7 @@ def _streamed(spark: SparkSession, sf_dir: str):
     value = F.format_string("%d,%03d", (F.col("event_id") % 900 + 1).cast("int"), (F.col("event_id") % 1000).cast("int"))
     fields = F.array(F.col("event_id").cast("string"), kind, value)
     rows = events.select(F.when(F.col("event_id") % 100 == 0, F.array_append(fields, "extra")).otherwise(fields).alias("fields"))
-    out = _shared(spark)
+    out = new_folder(spark, "stream")
     stats.solve_stream(rows, ["event_id", "event_type", "value"], out, f"{out}/checkpoint").awaitTermination()
     return stats.StreamResult(spark, out)
 

@@ -105,6 +105,15 @@ def solve(spark: SparkSession, source: str | DataFrame | Source, fix_genes: bool
     return solve_rows(source.rows, source.header, fix_genes, quarantine_truncated, source.encoding, source.delimiter)
 
 
+def solve_to_tables(spark: SparkSession, source: str | DataFrame | Source, name: str, mode: str = "append", **options) -> dict[str, int]:
+    """Clean rows go to the table ``name``, rows put apart to ``name``_quarantine with their reason and time. Counts of both; the session's default table format is used."""
+    s = solve(spark, source, **options)
+    s.clean.write.mode(mode).saveAsTable(name)
+    s.quarantine.withColumn("__quarantined_at", F.current_timestamp()).write.mode(mode).saveAsTable(f"{name}_quarantine")
+    c = s.counts().first()
+    return {"clean": c.kept, "quarantine": c.quarantined}
+
+
 def solve_to_files(spark: SparkSession, source: str, out_dir: str, **options) -> dict[str, str]:
     """Folders <stem>.clean, <stem>.quarantine (if any) and <stem>.report under out_dir, as CSV and text."""
     s = solve(spark, source, **options)

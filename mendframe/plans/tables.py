@@ -29,6 +29,7 @@ def vendor_columns(dialect: str) -> dict[str, str]:
     }
 
 
+LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 VENDOR = ["name", "revenue", "gene", "status", "zip_code", "notes", "joined", "segment"]
 
 

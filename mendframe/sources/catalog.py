@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,16 @@ from ..operators.conventions import audit_conventions
 from ..operators.tabular import audit_columns
 
 _PART = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+#: Rows after which reads stop unless told otherwise.
 LIMIT = 100_000
+_LOG = logging.getLogger("mendframe")
+
+
+def _upto(df: DataFrame, limit: int | None, what: str) -> DataFrame:
+    if limit is None:
+        return df
+    _LOG.warning("%s: reads stop at %d rows; limit=None reads all", what, limit)
+    return df.limit(limit)
 
 
 def quote_ident(name: str) -> str:
@@ -34,15 +44,14 @@ def as_text(df: DataFrame) -> DataFrame:
 
 def read_rows(spark: SparkSession, query: str, params: dict | None = None, limit: int | None = LIMIT) -> DataFrame:
     """A query's rows as text. Parameters are bound, never pasted. limit None: all rows."""
-    df = as_text(spark.sql(query, args=params or {}))
-    return df if limit is None else df.limit(limit)
+    return _upto(as_text(spark.sql(query, args=params or {})), limit, "query")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None = None, limit: int | None = LIMIT, **partition) -> DataFrame:
     """A table behind JDBC as text; partition: column, lowerBound, upperBound, numPartitions for a parallel read."""
     quote_ident(table)
     df = as_text(spark.read.jdbc(url, table, properties={"fetchsize": "10000"} | (properties or {}), **partition))
-    return df if limit is None else df.limit(limit)
+    return _upto(df, limit, table)
 
 
 def audit_query(df: DataFrame, name: str, order_by: str | None = None, with_samples: bool = False) -> DataFrame:

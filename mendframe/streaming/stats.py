@@ -1,6 +1,7 @@
 """Column statistics that merge, and a stream that repairs rows as they come.
 
-Each micro-batch becomes partial counters by (column, length bucket) plus up to 64 cells per column and length limit; partials are
+Each micro-batch becomes partial counters by (column, length bucket), with the least and the greatest hash of a bucket's cells, which tell
+whether it holds two different ones; partials are
 appended with their batch id and merged by sum, so a batch that is run again replaces its own. Lengths over a table's limits fall into
 buckets of ten, which bounds a column's rows whatever the input. The stream has its own rules: plain numbers count, any mojibake is at
 least suspect, null words are stripped first, a cut needs two different values, and undecodable characters are judged per column.
@@ -21,7 +22,6 @@ from ..operators.tabular import field_cells
 from ..plans.solve import fixed_cell
 
 SUMS = ("seen", "non_empty", "chars", "mojibake", "numeric", "nullish", "excel", "digit_bearing", "controls")
-MOST = 64
 
 
 def partials(long: DataFrame) -> DataFrame:
