@@ -1,6 +1,8 @@
 """Suffix-array dedup: external induced sorting with common-prefix values.
 
-``suffix_order`` sorts the suffixes of a text that lives in a file, in memory set by MEMORY_ITEMS, not by the text:
+``suffix_order`` sorts the suffixes of a text. Whatever it makes on the way is on disk: places, names, orders and values are
+files, read and written in order or through the page cache, and queues and sorts spill beyond MEMORY_ITEMS tuples. Only these tuples
+and a stack of common-prefix values are in memory, at every level of the recursion:
 
 * substrings between left-most S positions (S*) are sorted by an external merge sort and named; equal names go one level down,
   to the text of names, whose suffix order and common prefixes come back and are spelt out in this level's units;
@@ -9,9 +11,10 @@
   more than the least value between the two inducing suffixes in the scan;
 * where L meets S under one first unit, the common prefix is the shorter run of that unit.
 
-``earlier_starts`` sorts a shard's segments and reads runs of suffixes that share W bytes: all of a run but its first in order of
-(document, start) stand earlier too. Frame, sharding and defined cases: see repeats. Scratch files are anonymous and local to one
-task: they hold nothing that another task reads, and a task that is run again writes them anew.
+``earlier_starts`` sorts a shard's segments and reads runs of suffixes that share W bytes, some CHUNK of them at a time: all of a run
+but its first in order of (document, start) stand earlier too. A shard's own content is in memory once. Frame, sharding and
+defined cases: see repeats. Scratch files are anonymous and local to one task: they hold nothing that another task reads, and a task
+that is run again writes them anew.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import tempfile
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,29 @@ from .repeats import Units, covered, keyed, repeated_ranges, with_ranges
 #: Tuples that a queue or a sort holds before it spills.
 MEMORY_ITEMS = 1 << 18
 _CHUNK = 4096
+#: Suffixes that are looked at together when runs are read; a run is never cut.
+CHUNK = 1 << 18
+
+
+class Cells:
+    """A file of n 64-bit numbers, all ``fill`` at first, for reading and writing at any place."""
+
+    def __init__(self, n: int, fill: int = 0):
+        self.file = tempfile.TemporaryFile()
+        self.file.truncate(8 * max(n, 1))
+        self.map = mmap.mmap(self.file.fileno(), 0)
+        self.at = memoryview(self.map).cast("q")
+        if fill:
+            one = array("q", [fill]) * min(n, 1 << 16)
+            for k in range(0, n, 1 << 16):
+                self.at[k : min(n, k + (1 << 16))] = one[: min(n, k + (1 << 16)) - k]
+
+
+def _view(column: Column) -> memoryview:
+    """The numbers of a column by place, through the page cache."""
+    column._flush()
+    column.file.flush()
+    return memoryview(mmap.mmap(column.file.fileno(), 0, access=mmap.ACCESS_READ)).cast("q") if column.n else memoryview(b"").cast("B")
 
 
 class Column:
@@ -47,7 +74,7 @@ class Column:
     def append(self, v: int) -> None:
         self.held.append(v)
         self.n += 1
-        if len(self.held) >= 1 << 16:
+        if len(self.held) >= _CHUNK:
             self._flush()
 
     def _flush(self) -> None:
@@ -72,27 +99,24 @@ class Column:
             at = max(0, end - _CHUNK)
             yield from reversed(self._read(at, end - at))
 
-    def numbers(self) -> np.ndarray:
-        self._flush()
-        self.file.seek(0)
-        return np.frombuffer(self.file.read(), np.int64)
 
-    def view(self) -> memoryview:
-        """Random access through the page cache."""
-        self._flush()
-        self.file.flush()
-        return memoryview(mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)).cast("q") if self.n else memoryview(b"").cast("B")
+#: Sorted runs that are read at once; more are merged to one. Their buffers together hold as many tuples as memory may.
+FAN = 16
 
 
-def _spilled(items: list) -> Iterator:
+def _spilled(items: Iterator[tuple], most: int) -> Iterator[tuple]:
     """Sorted items through an anonymous file."""
-    f = tempfile.TemporaryFile()
-    for at in range(0, len(items), _CHUNK):
-        marshal.dump(items[at : at + _CHUNK], f)
+    f, held, chunk = tempfile.TemporaryFile(), [], max(16, most // FAN)
+    for x in items:
+        held.append(x)
+        if len(held) == chunk:
+            marshal.dump(held, f)
+            held = []
+    marshal.dump(held, f)
     size = f.tell()
     f.seek(0)
 
-    def read() -> Iterator:
+    def read() -> Iterator[tuple]:
         with f:
             while f.tell() < size:
                 yield from marshal.load(f)
@@ -101,42 +125,52 @@ def _spilled(items: list) -> Iterator:
 
 
 class DiskQueue:
-    """Priority queue of tuples: a heap in memory, and sorted runs on disk beyond ``most`` tuples."""
+    """Priority queue of tuples: a heap in memory, and sorted runs on disk beyond ``most`` tuples, FAN of them at most."""
 
     def __init__(self, most: int = 0):
-        self.most, self.heap, self.runs, self.heads = most or MEMORY_ITEMS, [], [], []
+        self.most, self.heap = most or MEMORY_ITEMS, []
+        self.runs: list[tuple[tuple, int, Iterator[tuple]]] = []  # a heap of next item, number, and what follows
+        self.spilled = 0
+
+    def _add(self, run: Iterator[tuple]) -> None:
+        self.spilled += 1
+        if (item := next(run, None)) is not None:
+            heapq.heappush(self.runs, (item, self.spilled, run))
 
     def push(self, item: tuple) -> None:
         heapq.heappush(self.heap, item)
         if len(self.heap) > self.most:
-            run = _spilled(sorted(self.heap))
-            self.heap = []
-            self.runs.append(run)
-            heapq.heappush(self.heads, (next(run), len(self.runs) - 1))
+            held, self.heap = sorted(self.heap), []
+            if len(self.runs) >= FAN:
+                old, self.runs = self.runs, []
+                self._add(_spilled(heapq.merge(*(chain((x,), rest) for x, _, rest in old)), self.most))
+            self._add(_spilled(iter(held), self.most))
 
     def peek(self) -> tuple | None:
-        if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
-            return self.heads[0][0]
+        if self.runs and (not self.heap or self.runs[0][0] < self.heap[0]):
+            return self.runs[0][0]
         return self.heap[0] if self.heap else None
 
     def pop(self) -> tuple:
-        if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
-            item, k = self.heads[0]
-            after = next(self.runs[k], None)
-            if after is None:
-                heapq.heappop(self.heads)
+        if self.runs and (not self.heap or self.runs[0][0] < self.heap[0]):
+            item, k, rest = self.runs[0]
+            if (after := next(rest, None)) is None:
+                heapq.heappop(self.runs)
             else:
-                heapq.heapreplace(self.heads, (after, k))
+                heapq.heapreplace(self.runs, (after, k, rest))
             return item
         return heapq.heappop(self.heap)
 
 
 def external_sort(items: Iterator[tuple], most: int = 0) -> Iterator[tuple]:
-    runs, held = [], []
+    most, runs, held = most or MEMORY_ITEMS, [], []
     for x in items:
         held.append(x)
-        if len(held) >= (most or MEMORY_ITEMS):
-            runs.append(_spilled(sorted(held)))
+        if len(held) >= most:
+            if len(runs) >= FAN:
+                runs = [_spilled(heapq.merge(*runs), most)]
+            held.sort()
+            runs.append(_spilled(iter(held), most))
             held = []
     held.sort()
     return heapq.merge(*runs, held) if runs else iter(held)
@@ -160,19 +194,23 @@ class _Least:
         return self.values[bisect_right(self.turns, turn)]
 
 
-def _starred(t) -> list[int] | array:
-    """S* positions from the end on."""
-    out = array("q")
+def _starred(t) -> Column:
+    """S* positions in order, and the end."""
+    falling = Column()
     s, after = False, t[len(t) - 1]
     for i in range(len(t) - 2, -1, -1):
         c = t[i]
         if c > after:
             if s:
-                out.append(i + 1)
+                falling.append(i + 1)
             s = False
         elif c < after:
             s = True
         after = c
+    out = Column()
+    for i in falling.backwards():
+        out.append(i)
+    out.append(len(t) - 1)  # the end, least of all
     return out
 
 
@@ -184,35 +222,36 @@ def _run(t, i: int) -> int:
     return k - i
 
 
-def _sorted_starred(t) -> tuple[list[int] | array, list[int] | array]:
+def _sorted_starred(t, most: int) -> tuple[Column, Column]:
     """S* positions in suffix order, and the common prefix of each with the one before."""
-    at = _starred(t)
-    at.reverse()
-    at.append(len(t) - 1)  # the end, least of all
-    n = len(at)
+    starred = _starred(t)
+    n, at = starred.n, _view(starred)
+    places, values = Column(), Column()
+    if n == 1:
+        places.append(at[0])
+        values.append(0)
+        return places, values
 
     def cut() -> Iterator[tuple]:
         for k in range(n - 1):
             # an end above all units: of two substrings, one within the other, the shorter ends in S and is the larger
             yield (*t[at[k] : at[k + 1] + 1], 1 << 62), k
 
-    if n == 1:
-        return array("q", at), array("q", [0])
-    names = array("q", bytes(8 * n))
+    names = Cells(n)
     name, last = 0, None
-    for key, k in external_sort(cut()):
+    for key, k in external_sort(cut(), most):
         if key != last:
             name, last = name + 1, key
-        names[k] = name
+        names.at[k] = name
     if name < n - 1:
-        order, common = suffix_order(names)
-        rank = ((k, v) for k, v in zip(order, common, strict=True))
+        order, common = suffix_order(names.at, most)
+        rank = zip(order, common, strict=True)
     else:
-        by = array("q", bytes(8 * (name + 1)))
+        by = Cells(name + 1)
         for k in range(n):
-            by[names[k]] = k
-        rank = ((k, 0) for k in by)
-    places, values, before = array("q"), array("q"), None
+            by.at[names.at[k]] = k
+        rank = ((by.at[k], 0) for k in range(n))
+    before = None
     for k, v in rank:
         i = at[k]
         if before is None:
@@ -231,11 +270,13 @@ def _sorted_starred(t) -> tuple[list[int] | array, list[int] | array]:
 
 def suffix_order(t, most: int = 0) -> tuple[Column, Column]:
     """Suffix array of t and the common prefix of each suffix with the one before. t: numbers by position, its last one the least and unique."""
-    n = len(t)
-    star, star_common = _sorted_starred(t)
+    n, units = len(t), max(t) + 1
+    stars, star_values = _sorted_starred(t, most)
+    star, star_common, turns = _view(stars), _view(star_values), Cells(units, -1)
+    last = turns.at  # the turn that last induced a suffix of each first unit
     # L suffixes, in rising order, from the S* and L before them
     low, low_common = Column(), Column()
-    queue, least, last = DiskQueue(most), _Least(), {}
+    queue, least = DiskQueue(most), _Least()
     turn, k, before, before_star = 0, 0, -1, False
     head = queue.peek()
     while head is not None or k < len(star):
@@ -251,13 +292,14 @@ def suffix_order(t, most: int = 0) -> tuple[Column, Column]:
                 v = min(_run(t, before), _run(t, i)) if t[before] == c else 0
         least.add(turn, v)
         if i and (p := t[i - 1]) >= c and (p > c or not is_star):
-            queue.push((p, turn, i - 1, 1 + least.since(last[p]) if p in last else 0))
+            queue.push((p, turn, i - 1, 1 + least.since(last[p]) if last[p] >= 0 else 0))
             last[p] = turn
         before, before_star = i, is_star
         turn += 1
         head = queue.peek()
     # S suffixes, in falling order, from the L and S after them; the value of a pair goes to its larger suffix
-    queue, least, last = DiskQueue(most), _Least(), {}
+    queue, least, turns = DiskQueue(most), _Least(), Cells(units, -1)
+    last = turns.at
     order, common = Column(), Column()
     falling = zip(low.backwards(), low_common.backwards(), strict=True)
     high = next(falling, None)
@@ -281,7 +323,7 @@ def suffix_order(t, most: int = 0) -> tuple[Column, Column]:
         order.append(i)
         least.add(turn, v)
         if i and (p := t[i - 1]) <= c and (p < c or is_s):
-            queue.push((-p, turn, i - 1, 1 + least.since(last[p]) if p in last else 0))
+            queue.push((-p, turn, i - 1, 1 + least.since(last[p]) if last[p] >= 0 else 0))
             last[p] = turn
         before, before_s = i, is_s
         turn += 1
@@ -312,26 +354,34 @@ def earlier_starts(contents: list[bytes], docs: list[int], starts: list[int], u:
     else:
         units = text
     order, common = suffix_order(units)
-    sa, lcp = order.numbers(), common.numbers()
     base = np.r_[0, np.cumsum([len(c) + 1 for c in contents])]
-    seg = np.searchsorted(base, sa, side="right") - 1
-    seg = np.minimum(seg, len(contents) - 1)
-    off = sa - base[seg]
-    sizes = np.array([len(c) for c in contents])
-    inside = off + u.window <= sizes[seg]
-    run = np.cumsum(lcp < u.window)
-    keep = np.flatnonzero(inside)
-    run, seg, off = run[keep], seg[keep], off[keep]
-    doc, start = np.asarray(docs, np.int64)[seg], np.asarray(starts, np.int64)[seg] + off
-    rank = np.lexsort((start, doc, run))
-    first = np.r_[True, run[rank][1:] != run[rank][:-1]]
-    hit = [np.zeros(k - u.window + 1, bool) for k in sizes.tolist()]
-    for i in rank[~first].tolist():
-        hit[seg[i]][off[i]] = True
+    sizes = np.diff(base) - 1
+    hit = [np.zeros(max(0, k - u.window + 1), bool) for k in sizes.tolist()]
+    doc_of, start_of = np.asarray(docs, np.int64), np.asarray(starts, np.int64)
+    for sa, run in _runs(order, common, u.window):
+        seg = np.minimum(np.searchsorted(base, sa, side="right") - 1, len(contents) - 1)
+        off = sa - base[seg]
+        inside = off + u.window <= sizes[seg]
+        run, seg, off = run[inside], seg[inside], off[inside]
+        if not len(run):
+            continue
+        rank = np.lexsort((start_of[seg] + off, doc_of[seg], run))
+        first = np.r_[True, run[rank][1:] != run[rank][:-1]]
+        for i in rank[~first].tolist():
+            hit[seg[i]][off[i]] = True
     return hit
 
 
-_BYTE = np.arange(256, dtype=np.uint64)
+def _runs(order: Column, common: Column, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Suffixes in order with the number of their run, CHUNK of them or more at a time; suffixes of a run share ``window`` units. A run longer than CHUNK comes whole."""
+    sa, lcp = np.frombuffer(_view(order), np.int64), np.frombuffer(_view(common), np.int64)
+    at = 0
+    while at < len(sa):
+        end = min(len(sa), at + CHUNK)
+        while end < len(sa) and lcp[end] >= window:
+            end += 1
+        yield sa[at:end], np.cumsum(lcp[at:end] < window)
+        at = end
 
 
 def split_bytes(text: str) -> tuple[np.ndarray, bytes]:

@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and strings that a random-character model explains better than an identifier model.
 
-Two character Markov models (order 1 over character classes and characters, add-one smoothing) are trained from the labelled
-samples below: random strings of the usual secret alphabets, and ordinary identifiers and words. A token is a secret when
-its log-likelihood ratio per character, and in all, is high enough. The patterns' spans are always kept; the models add
-spans that overlap none of them.
+Two character Markov models (order 1, SMOOTHING added to each count) are trained from labelled samples: random strings of the
+usual secret alphabets, and ordinary identifiers and words. Samples are drawn by a rule unless the caller gives labelled strings of
+their own. Every token of SHORTEST characters or more is judged, with or without digits or dots: it is a secret when its
+log-likelihood ratio per character, and in all, is high enough; the ratio in all keeps short tokens from being secrets by
+chance. The patterns' spans are always kept; the models add spans that overlap none of them.
 
 Defined cases: a null or empty text has no spans; rows are scanned one by one, so repeated rows and null ids repeat;
 ``redact`` keeps all columns and rows. Spans are code points, end exclusive. Long texts are scanned whole.
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, texts
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-#: Any match of the pattern above has one of these before it; a cheap test of most texts.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "model")
 #: Tokens that the models judge.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-MIN_TOTAL, MIN_PER_CHAR = 12.0, 0.55
+SHORTEST, SMOOTHING = 12, 0.02
+_TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{SHORTEST},}}(?![A-Za-z0-9+/_=-])")
+#: A sentence's end isn't part of a token.
+_TAIL = ".-_/="
+MIN_TOTAL, MIN_PER_CHAR = 14.0, 0.9
 
 _WORDS = """account action address agent alert amount array audit author backup balance batch binary block bucket buffer build bytes
 cache cancel category channel check client cluster code column command comment commit company config connection contact content
@@ -48,13 +51,28 @@ system table target task team template test text theme thread time title token t
 upload user utility value variable vector version video view volume weight widget width window worker writer year zone""".split()
 
 
+#: Parts of syllables, for ordinary words of no language in particular.
+_ONSETS = "b c d f g h j k l m n p r s t v w z bl br ch cr dr fl fr gl gr kl kr pf pl pr qu sch sh sl sp st str th tr wh zw".split()
+_NUCLEI = "a e i o u ai au ea ei eu ie oi ou ue y".split()
+_CODAS = ["", "", "", *"b ch ck d ft l ld ll m n nd ng nt p r rt s sch ss st t tz x".split()]
+
+
 def labelled_samples(n: int = 4000, seed: int = 20240229) -> list[tuple[str, int]]:
-    """n strings of each label, 1: random (hex, base64, alphanumeric), 0: ordinary (identifiers, words, paths, versions, dates)."""
+    """n strings of each label, 1: random (hex, base64, alphanumeric, letters), 0: ordinary (identifiers, words, paths, versions, dates, dotted numbers)."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     alphabets = ["0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
-    out = [("".join(pick(a) for _ in range(int(rng.integers(20, 64)))), 1) for a in (pick(alphabets) for _ in range(n))]
-    for _ in range(n):
+    alphabets += [string.ascii_letters, string.ascii_letters + string.digits + "._-"]
+    out = [("".join(pick(a) for _ in range(int(rng.integers(SHORTEST, 64)))), 1) for a in (pick(alphabets) for _ in range(n))]
+    whole = lambda a, b: str(int(rng.integers(a, b)))
+    spoken = lambda: "".join(pick(_ONSETS) + pick(_NUCLEI) + pick(_CODAS) for _ in range(int(rng.integers(3, 7))))
+    for k in range(n):
+        if k % 4 == 0:  # a word, some with a capital
+            out.append((spoken().capitalize() if k % 3 == 0 else spoken(), 0))
+            continue
+        if k % 16 == 1:
+            out.append((pick([".", "-", "/"]).join(whole(0, 256) for _ in range(int(rng.integers(3, 6)))), 0))
+            continue
         parts = [pick(_WORDS) for _ in range(int(rng.integers(2, 7)))]
         tail = pick(["", "", str(int(rng.integers(100))), f"v{int(rng.integers(1, 20))}", str(int(rng.integers(1990, 2030))), f"{int(rng.integers(1990, 2030))}-{int(rng.integers(1, 13)):02d}-{int(rng.integers(1, 29)):02d}"])
         joined = pick(["_".join, "-".join, "/".join, "".join, lambda p: p[0] + "".join(x.title() for x in p[1:]), lambda p: "".join(x.title() for x in p), lambda p: "_".join(p).upper()])
@@ -63,10 +81,10 @@ def labelled_samples(n: int = 4000, seed: int = 20240229) -> list[tuple[str, int
 
 
 @cache
-def ratio_table() -> np.ndarray:
-    """log P(next | this, random) - log P(next | this, ordinary), 128 x 128; byte 0 stands before the first character."""
-    counts = np.full((2, 128, 128), 0.02)
-    for text, label in labelled_samples():
+def ratio_table(samples: tuple[tuple[str, int], ...] | None = None) -> np.ndarray:
+    """log P(next | this, random) - log P(next | this, ordinary), 128 x 128; byte 0 stands before the first character. samples: labelled ASCII strings, or those drawn by rule."""
+    counts = np.full((2, 128, 128), SMOOTHING)
+    for text, label in samples or labelled_samples():
         raw = np.frombuffer(b"\0" + text.encode("ascii"), np.uint8)
         np.add.at(counts[label], (raw[:-1], raw[1:]), 1)
     p = np.log(counts / counts.sum(2, keepdims=True))
@@ -89,8 +107,10 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = sorted(found)
     for m in _TOKEN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in base) and (v := llr(m[0])) >= MIN_TOTAL and v >= MIN_PER_CHAR * len(m[0]):
-            found.append((m.start(), 3, m.end()))
+        token = m[0].rstrip(_TAIL)
+        end = m.start() + len(token)
+        if len(token) >= SHORTEST and not any(a < end and m.start() < b for a, _, b in base) and (v := llr(token)) >= MIN_TOTAL and v >= MIN_PER_CHAR * len(token):
+            found.append((m.start(), 3, end))
     return sorted(found)
 
 

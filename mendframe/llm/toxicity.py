@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, table, texts
 
-SAMPLE, TERMS = 20_000, 5_000
+SAMPLE = 20_000
 STEM_LENGTHS = (4, 5, 6, 7)
 MIN_DOCS, MIN_WEIGHT = 6, 1.5
 SEED = dict.fromkeys("idiot moron stupid loser scum pathetic disgusting worthless imbecile vermin filth scumbag dumbass bastard asshole bitch".split(), 3.0)
@@ -136,6 +136,13 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([every[k] for k in keys], pa.int64())], ["term", "a", "n"])
 
 
+def _least_weight(toxic: int, clean: int) -> F.Column:
+    """A term's log-odds less two standard errors, over columns a (toxic documents with it) and n (all with it)."""
+    a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
+    c, d = F.lit(toxic) - F.col("a") + 0.5, F.lit(clean) - (F.col("n") - F.col("a")) + 0.5
+    return F.log(a / c) - F.log(b / d) - 2 * F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+
+
 def _lexicon(terms, toxic: int, clean: int) -> dict[str, float]:
     """Terms whose weight holds two standard errors down. A stem gives way to a longer term that makes up nine tenths of it; a term that begins with a kept stem of like weight adds nothing."""
     strong = {}
@@ -201,8 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if len(n) < 2:
         return Model(tuple(sorted(seed.items())))
     counted = map_arrow(once, _count_terms, "term string, a long, n long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
-    best = counted.where((F.col("a") >= MIN_DOCS) & (2 * F.col("a") * (n[0] + n[1]) > 3 * F.col("n") * n[1])).orderBy(F.desc(F.col("a") / F.sqrt("n")), "term").limit(TERMS)
-    weights = seed | _lexicon([tuple(r) for r in best.collect()], n[1], n[0])
+    strong = counted.where((F.col("a") >= MIN_DOCS) & (_least_weight(n[1], n[0]) >= MIN_WEIGHT - 1e-9)).orderBy("term")
+    weights = seed | _lexicon([tuple(r) for r in strong.collect()], n[1], n[0])  # terms of the bounded sample that pass
     model = Model(tuple(sorted(weights.items())))
     x = map_arrow(once, _featured(model), "toxic int, x1 double, x2 double").toPandas()  # SAMPLE rows at most
     return Model(model.weights, curve=_curve(x[["x1", "x2"]].to_numpy(), x["toxic"].to_numpy("float64")))

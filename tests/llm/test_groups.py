@@ -63,3 +63,66 @@ def test_large_verdicts_are_joined_by_a_shuffle(spark, monkeypatch):
     near = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
     monkeypatch.setattr(common, "SENT_BYTES", 0)
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == near == {i: f"line {i}" for i in range(12)}
+
+
+def test_secret_recall_through_scan():
+    """Held-out samples within a text, short and letter-only ones too: random strings are found, ordinary ones left alone."""
+    from mendframe.llm import secrets
+
+    held = secrets.labelled_samples(600, seed=99)
+    found = [(bool(secrets.scan(f"see {t}. And more")), y, len(t)) for t, y in held]
+    for low, high in ((12, 20), (20, 64)):
+        hits = [f for f, y, n in found if y and low <= n < high]
+        assert sum(hits) / len(hits) > 0.9
+    assert sum(f for f, y, _ in found if not y) / 600 < 0.01
+
+
+def test_secret_spans_against_a_plain_ratio(spark):
+    """Base spans by patterns written out here, model spans by a ratio counted from the samples in plain Python."""
+    import math
+    import re
+    from collections import Counter
+
+    from mendframe.llm import secrets
+
+    pairs, firsts = [Counter(), Counter()], [Counter(), Counter()]
+    for t, y in secrets.labelled_samples():
+        for a, b in zip("\0" + t, t, strict=False):
+            pairs[y][a, b] += 1
+            firsts[y][a] += 1
+
+    def ratio(t):
+        p = lambda y, a, b: math.log((pairs[y][a, b] + 0.02) / (firsts[y][a] + 128 * 0.02))
+        return sum(p(1, a, b) - p(0, a, b) for a, b in zip("\0" + t, t, strict=False))
+
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    items = [" ".join(rng.choice([lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(6, 40))), lambda: "configuration_manager", lambda: "password: " + "x" * rng.randrange(4, 14), lambda: "AKIA" + "Q7" * rng.randrange(3, 9), lambda: "e3" * rng.randrange(12, 20), lambda: "10.24.3.117"])() for _ in range(8)) for _ in range(40)]
+    got = {r.doc_id: r.spans for r in secrets.scan_digest(spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")).collect()}
+    assign = re.compile("(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)")
+    for i, x in enumerate(items):
+        base = [(m.start(), 0, m.end()) for m in assign.finditer(x) if len(m[1]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 32]
+        model = []
+        for m in re.finditer(r"\S+", x):
+            if len(m[0]) >= 12 and ":" not in m[0] and not any(a < m.end() and m.start() < b for a, _, b in base) and ratio(m[0]) >= 14 and ratio(m[0]) >= 0.9 * len(m[0]):
+                model.append((m.start(), 3, m.end()))
+        assert got[i] == ",".join(f"{('assign', 'access', 'hex', 'model')[k]}:{a}:{b}" for a, k, b in sorted(base + model)), x
+    assert any("model" in s for s in got.values())
+
+
+def test_more_vectors_get_more_signs():
+    from mendframe.llm import embeddings
+
+    assert embeddings.plan(1000, 0.95) == (12, 24) and embeddings.plan(10**9, 0.95)[0] == 24
+    for n in (10, 10**6, 10**9):
+        bits, tables = embeddings.plan(n, 0.95)
+        together = (1 - np.arccos(0.95) / np.pi) ** bits
+        assert (1 - together) ** tables <= embeddings.MISSED and n / 2**bits <= embeddings.BUCKET
+
+
+def test_double_vectors_and_infinities(spark):
+    from mendframe.llm import embeddings
+
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0 + 1e-9]), (3, [float("inf"), 1.0, 2.0]), (4, [-1.0, -2.0, -3.0]), (1, [1.0, 2.0, 3.0]), (None, [1.0, 2.0, 3.0])]
+    got = sorted(map(tuple, embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (None, 0, None, True)], key=str)
