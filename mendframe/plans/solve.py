@@ -63,21 +63,34 @@ def fixed_cell(v: Column, genes: bool) -> Column:
     return F.coalesce(gene, once)
 
 
-def _changes(v: Column, genes: bool) -> Column:
-    once = C.repaired(v)
-    out = [F.when(once != v, F.struct(C.repair_name(v).alias("mode"), v.alias("before"), once.alias("after")))]
-    if genes:
-        gene = C.restore_gene(once)
-        out.append(F.when(gene.isNotNull() & (gene != once), F.struct(F.lit("excel_date_corruption").alias("mode"), once.alias("before"), gene.alias("after"))))
-    return F.array_compact(F.array(*out)).cast(_CHANGE)
+def _repaired_cells(fields: Column) -> Column:
+    """Each cell with what every repair makes of it (null: nothing), so that later columns read results instead of repairing again."""
+    return F.transform(fields, lambda v: F.struct(v.alias("before"), C.fix_mojibake(v).alias("mojibake"), C.fix_numeric_text(v).alias("numeric_as_text"), C.fix_null_string(v).alias("null_as_string")))
+
+
+def _settled_cells(cells: Column) -> Column:
+    """before, once (the first repair that applies), and that repair's mode."""
+    modes = ("mojibake", "numeric_as_text", "null_as_string")
+    return F.transform(cells, lambda c: F.struct(c["before"].alias("before"), F.coalesce(*(c[m] for m in modes), c["before"]).alias("once"), F.coalesce(*(F.when(c[m].isNotNull(), F.lit(m)) for m in modes)).alias("mode")))
+
+
+def _with_genes(cells: Column, genes: bool) -> Column:
+    return F.transform(cells, lambda c: c.withField("gene", C.restore_gene(c["once"]) if genes else F.lit(None).cast("string")))
+
+
+def _changes(c: Column) -> Column:
+    first = F.when(c["once"] != c["before"], F.struct(c["mode"].alias("mode"), c["before"].alias("before"), c["once"].alias("after")))
+    gene = F.when(c["gene"] != c["once"], F.struct(F.lit("excel_date_corruption").alias("mode"), c["once"].alias("before"), c["gene"].alias("after")))
+    return F.array_compact(F.array(first, gene)).cast(_CHANGE)
 
 
 def solve_rows(rows: DataFrame, header: list[str], fix_genes: bool = True, quarantine_truncated: bool = True, encoding: str = "utf-8", delimiter: str = ",") -> Solution:
     """rows(row_id, fields). Rows of another width than the header are ragged; null fields are empty."""
     width = len(header)
     own = rows.withColumn("fields", F.transform("fields", C.cell)).withColumn("ragged", F.size("fields") != width)
-    own = own.withColumn("fixed", F.when(~F.col("ragged"), F.transform("fields", lambda v: fixed_cell(v, fix_genes))))
-    own = own.withColumn("changes", F.when(~F.col("ragged"), F.flatten(F.transform("fields", lambda v: _changes(v, fix_genes)))))
+    own = own.withColumn("cells", F.when(~F.col("ragged"), _repaired_cells(F.col("fields"))))
+    own = own.withColumn("cells", _settled_cells(F.col("cells"))).withColumn("cells", _with_genes(F.col("cells"), fix_genes))
+    own = own.withColumn("fixed", F.transform("cells", lambda c: F.coalesce(c["gene"], c["once"]))).withColumn("changes", F.flatten(F.transform("cells", _changes))).drop("cells")
     limits: dict[int, int] = {}
     if quarantine_truncated and width:
         kept = own.where(~F.col("ragged")).select("row_id", F.col("fixed").alias("fields"))
