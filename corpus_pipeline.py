@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents; n_chars follows the text.
+
+Defined cases: null and empty texts have no words, so the first stage rejects them; rows with one id go or stay by the rules of each
+stage's operator; an empty table gives no rows at every stage; columns beyond those of documents stay up to the last stage.
 """
 
 from __future__ import annotations
@@ -39,8 +42,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens in as few sequences as best fit finds."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=0)
+    """Pieces of at most 2048 tokens in as few sequences as best fit finds. Workers of other stages stay beside its own, so its cache is small and goes with the task."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=0, cached=100_000, keep=False)
 
 
 STAGES = [

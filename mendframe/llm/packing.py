@@ -40,8 +40,8 @@ CACHE_CHUNKS, CACHE_LENGTH = 300_000, 40
 class Pieces(TwoAges):
     """Normalised piece (letters, one digit, or other characters) -> packed ids, by the tokenizer's own BPE model."""
 
-    def __init__(self, model):
-        super().__init__(CACHE_CHUNKS // 2, CACHE_LENGTH)
+    def __init__(self, model, most: int):
+        super().__init__(most, CACHE_LENGTH)
         self.model, self.table = model, dict(enumerate(byte_characters()))
 
     def make(self, piece: str) -> bytes:
@@ -56,15 +56,15 @@ class Chunks(TwoAges):
     the file's BPE model; every other chunk goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
-        super().__init__(CACHE_CHUNKS, CACHE_LENGTH)
+        super().__init__(most, CACHE_LENGTH)
         self.whole = Tokenizer.from_file(path)
         spec = json.loads(self.whole.to_str())
         self.known = [x["type"] for x in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         self.latin = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
-        self.pieces = Pieces(self.whole.model)
+        self.pieces = Pieces(self.whole.model, most // 2)
 
     def make(self, chunk: str) -> bytes:
         if not chunk:
@@ -79,9 +79,15 @@ class Chunks(TwoAges):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
+    def forget(self) -> None:
+        for held in (self, self.pieces):
+            held.clear()
+            held.old = {}
+
+
 @cache
-def chunks(path: str) -> Chunks:
-    return Chunks(path)
+def chunks(path: str, most: int = CACHE_CHUNKS) -> Chunks:
+    return Chunks(path, most)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,11 +167,11 @@ def plan(counts: np.ndarray, size: int) -> tuple[np.ndarray, int]:
     return np.asarray(rows, "int64").reshape(-1, 5), total
 
 
-def _cut(path: str, size: int, end_id: int):
+def _cut(path: str, size: int, end_id: int, cached: int, keep: bool):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = chunks(path)
+        coder = chunks(path, cached)
         cols: list[list[int]] = [[] for _ in range(5)]
         doc, piece, start, length, crc = (c.append for c in cols)
         for b in batches:
@@ -174,6 +180,8 @@ def _cut(path: str, size: int, end_id: int):
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     own = ids[at : at + 4 * size]
                     doc(d), piece(k), start(at // 4), length(len(own) // 4), crc(zlib.crc32(own))
+        if not keep:
+            coder.forget()
         if not cols[0]:
             return
         lengths = np.asarray(cols[3], "int64")
@@ -214,10 +222,10 @@ def _place(rows: np.ndarray):
 _OUT = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
+def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, cached: int = CACHE_CHUNKS, keep: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece. A worker keeps the ids of up to twice ``cached`` chunks, from task to task if ``keep``: for speed only."""
     own = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = table(map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), _cut(path, size, end_id), f"{own}, pool long, number long, sequence_id long, offset long, done boolean"), "pieces")
+    pieces = table(map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), _cut(path, size, end_id, cached, keep), f"{own}, pool long, number long, sequence_id long, offset long, done boolean"), "pieces")
     done = pieces.where("done").select(*_OUT, "sequence_id", "offset")
     rest = pieces.where("not done").select(*_OUT, "pool", "number")
     held = table(rest.groupBy("pool", "length").agg(F.count(F.lit(1)).alias("n")), "held")
