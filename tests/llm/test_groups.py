@@ -77,8 +77,8 @@ def test_secret_recall_through_scan():
     assert sum(f for f, y, _ in found if not y) / 600 < 0.01
 
 
-def test_secret_spans_against_a_plain_ratio(spark):
-    """Base spans by patterns written out here, model spans by a ratio counted from the samples in plain Python."""
+def plain_spans():
+    """A scan of one text: base spans by patterns written out here, model spans by a ratio counted from the samples in plain Python."""
     import math
     import re
     from collections import Counter
@@ -95,18 +95,28 @@ def test_secret_spans_against_a_plain_ratio(spark):
         p = lambda y, a, b: math.log((pairs[y][a, b] + 0.02) / (firsts[y][a] + 128 * 0.02))
         return sum(p(1, a, b) - p(0, a, b) for a, b in zip("\0" + t, t, strict=False))
 
-    rng = random.Random(31)
-    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    items = [" ".join(rng.choice([lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(6, 40))), lambda: "configuration_manager", lambda: "password: " + "x" * rng.randrange(4, 14), lambda: "AKIA" + "Q7" * rng.randrange(3, 9), lambda: "e3" * rng.randrange(12, 20), lambda: "10.24.3.117"])() for _ in range(8)) for _ in range(40)]
-    got = {r.doc_id: r.spans for r in secrets.scan_digest(spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")).collect()}
     assign = re.compile("(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)")
-    for i, x in enumerate(items):
+
+    def scan(x):
         base = [(m.start(), 0, m.end()) for m in assign.finditer(x) if len(m[1]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 32]
         model = []
         for m in re.finditer(r"\S+", x):
             if len(m[0]) >= 12 and ":" not in m[0] and not any(a < m.end() and m.start() < b for a, _, b in base) and ratio(m[0]) >= 14 and ratio(m[0]) >= 0.9 * len(m[0]):
                 model.append((m.start(), 3, m.end()))
-        assert got[i] == ",".join(f"{('assign', 'access', 'hex', 'model')[k]}:{a}:{b}" for a, k, b in sorted(base + model)), x
+        return [(a, ("assign", "access", "hex", "model")[k], b) for a, k, b in sorted(base + model)]
+
+    return scan
+
+
+def test_secret_spans_against_a_plain_ratio(spark):
+    from mendframe.llm import secrets
+
+    rng, scan = random.Random(31), plain_spans()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    items = [" ".join(rng.choice([lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(6, 40))), lambda: "configuration_manager", lambda: "password: " + "x" * rng.randrange(4, 14), lambda: "AKIA" + "Q7" * rng.randrange(3, 9), lambda: "e3" * rng.randrange(12, 20), lambda: "10.24.3.117"])() for _ in range(8)) for _ in range(40)]
+    got = {r.doc_id: r.spans for r in secrets.scan_digest(spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")).collect()}
+    for i, x in enumerate(items):
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, k, b in scan(x)), x
     assert any("model" in s for s in got.values())
 
 
