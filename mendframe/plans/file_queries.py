@@ -163,7 +163,10 @@ def inventory_kinds(spark, sf_dir):
 def catalog_rows(spark, sf_dir):
     """A bound query over a table of the session's catalogue, as text, without a limit."""
     D.table(spark, sf_dir, "orders").createOrReplaceTempView("mf_orders")
-    return catalog.read_rows(spark, "SELECT o_orderkey, o_custkey, o_orderpriority FROM mf_orders WHERE o_custkey >= :least", {"least": 40}, limit=None)
+    try:  # the rows' plan is made here; the session keeps no view
+        return catalog.read_rows(spark, "SELECT o_orderkey, o_custkey, o_orderpriority FROM mf_orders WHERE o_custkey >= :least", {"least": 40}, limit=None)
+    finally:
+        spark.catalog.dropTempView("mf_orders")
 
 
 @query
@@ -176,6 +179,8 @@ def catalog_names(spark, sf_dir):
             tried.append((bad, catalog.quote_ident(bad)))
         except ValueError:
             tried.append((bad, "refused"))
+    for t in ("region", "nation"):
+        spark.catalog.dropTempView(f"mf_list_{t}")
     return spark.createDataFrame(tried, "name string, quoted string")
 
 

@@ -51,6 +51,14 @@ def test_limited_reads_are_told(spark, caplog):
     with caplog.at_level("WARNING", "mendframe"):
         assert catalog.read_rows(spark, "SELECT * FROM mf_thirty", limit=10).count() == 10
     assert "stop at 10 rows" in caplog.text
+    spark.catalog.dropTempView("mf_thirty")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+def test_queries_leave_no_views(spark):
+    for name in ("catalog_rows", "catalog_names"):
+        assert file_queries.queries()[name](spark, str(DATA)).count() > 0
+    assert not [t for t in catalog.list_tables(spark) if t.startswith("mf_")]
 
 
 def test_the_rest_stands_without_the_llm_package(tmp_path):
