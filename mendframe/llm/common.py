@@ -99,13 +99,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
 SENT_BYTES = 32 << 20
 
 
-def sent(verdicts: DataFrame, name: str, width: Column | int = 16) -> DataFrame:
-    """verdicts as a table. Its bytes (width a row) are measured: SENT_BYTES at most are broadcast, so texts stay where they are; more are joined by a shuffle."""
-    own = table(verdicts, name)
+def small(own: DataFrame, width: Column | int = 16) -> DataFrame:
+    """A table, to be broadcast if its bytes (width a row) are SENT_BYTES at most: so texts stay where they are; more are joined by a shuffle."""
     size = own.agg(F.sum(width if isinstance(width, Column) else F.lit(width)).alias("b")).first().b or 0
     return F.broadcast(own) if size <= SENT_BYTES else own
 
 
+def sent(verdicts: DataFrame, name: str, width: Column | int = 16) -> DataFrame:
+    """verdicts as a table, broadcast if it is small."""
+    return small(table(verdicts, name), width)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """names with as many underscores before them as it takes to clash with no column of df."""
     held = {c.lower() for c in df.columns}

@@ -1,6 +1,9 @@
 """Suffix-array dedup: external induced sorting with common-prefix values.
 
-``suffix_order`` sorts the suffixes of a text. Whatever it makes on the way is on disk: places, names, orders and values are
+``array_order`` sorts the suffixes of a text of at most IN_MEMORY units by arrays: S* substrings are sorted by inducing and named, names are
+sorted by doubling, and L and S suffixes are induced from the S* order, all suffixes of one first unit at once.
+
+``suffix_order`` sorts the suffixes of a longer text. Whatever it makes on the way is on disk: places, names, orders and values are
 files, read and written in order or through the page cache, and queues and sorts spill beyond MEMORY_ITEMS tuples. Only these tuples
 and a stack of common-prefix values are in memory, at every level of the recursion:
 
@@ -11,8 +14,8 @@ and a stack of common-prefix values are in memory, at every level of the recursi
   more than the least value between the two inducing suffixes in the scan;
 * where L meets S under one first unit, the common prefix is the shorter run of that unit.
 
-``earlier_starts`` sorts a shard's segments and reads runs of suffixes that share W bytes, some CHUNK of them at a time: all of a run
-but its first in order of (document, start) stand earlier too. A shard's own content is in memory once. Frame, sharding and
+``earlier_starts`` sorts a shard's segments and reads runs of suffixes that share W bytes, after an external sort some CHUNK of them at a
+time: all of a run but its first in order of (document, start) stand earlier too. A shard's own content is in memory once. Frame, sharding and
 defined cases: see repeats. Scratch files are anonymous and local to one task: they hold nothing that another task reads, and a task
 that is run again writes them anew.
 """
@@ -341,35 +344,197 @@ def suffix_order(t, most: int = 0) -> tuple[Column, Column]:
     return rising, values
 
 
+#: Units of a text that is sorted in memory, by arrays: 55 to 84 bytes a unit, as measured. A longer one is sorted externally.
+IN_MEMORY = 1 << 21
+
+
+def _spread(places: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Suffixes of one first unit, each at the end of its run of that unit -> all suffixes of these runs, as each induces the next one to its left."""
+    more = left[places]
+    if not more.any():
+        return places
+    size = more + 1
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return (np.repeat(places, size) - step)[np.argsort(step, kind="stable")]
+
+
+def _induced(t: np.ndarray, stars: np.ndarray, falls: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """All suffixes in the order that S* suffixes, given in order with the end first, induce: L from them, then S from L. falls: which are L; left: units equal to a place's own right before it. A first unit's suffixes are handled at once."""
+    n, units = len(t), int(t.max()) + 1
+    sa = np.empty(n, np.int32)
+    size, low = np.bincount(t, minlength=units), np.bincount(t[falls], minlength=units)
+    start = np.cumsum(size) - size
+    head, tail, mid = start.copy(), start + size, start + low
+    first = t[stars]
+    bound = np.searchsorted(first, np.arange(units + 1))
+
+    def send(places: np.ndarray, c: int, rising: bool) -> None:
+        places = places[places > 0] - 1
+        p = t[places]
+        on = p > c if rising else p < c
+        places, p = places[on], p[on]
+        if not len(p):
+            return
+        by = np.argsort(p, kind="stable")
+        places, p = places[by], p[by]
+        edge = np.r_[0, np.flatnonzero(p[1:] != p[:-1]) + 1, len(p)]
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            q = p[a]
+            if rising:
+                sa[head[q] : head[q] + b - a] = places[a:b]
+                head[q] += b - a
+            else:
+                sa[tail[q] - (b - a) : tail[q]] = places[a:b][::-1]
+                tail[q] -= b - a
+
+    used = np.flatnonzero(size).tolist()
+    for c in used:
+        own = stars[bound[c] : bound[c + 1]]
+        if low[c]:
+            whole = _spread(sa[start[c] : head[c]], left)
+            sa[start[c] : mid[c]] = whole
+            own = np.concatenate((whole, own))
+        send(own, c, True)
+    sa[0] = n - 1
+    for c in used[:0:-1]:
+        own = sa[start[c] : mid[c]][::-1]
+        if mid[c] < start[c] + size[c]:
+            whole = _spread(sa[tail[c] : start[c] + size[c]][::-1], left)
+            sa[mid[c] : start[c] + size[c]] = whole[::-1]
+            own = np.concatenate((whole, own))
+        send(own, c, False)
+    return sa
+
+
+def _alike(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size units from a on equal those from b on."""
+    same = np.ones(len(a), bool)
+    left, d = np.arange(len(a)), 0
+    while len(left) and d < 64:
+        on = t[a[left] + d] == t[b[left] + d]
+        same[left[~on]] = False
+        d += 1
+        left = left[on]
+        left = left[size[left] > d]
+    for k in left.tolist():
+        same[k] = np.array_equal(t[a[k] : a[k] + size[k]], t[b[k] : b[k] + size[k]])
+    return same
+
+
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Suffix order of a text of names, its last one the least and unique: ranks of twice as many names each round, only where ranks are equal."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    key = names[order]
+    fresh = np.r_[True, key[1:] != key[:-1]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    alone = fresh & np.r_[fresh[1:], True]
+    todo, h = order[~alone], 1
+    while len(todo):
+        key = rank[todo] * n + rank[todo + h]
+        by = np.argsort(key, kind="stable")
+        todo, key = todo[by], key[by]
+        group, k = key // n, np.arange(len(key))
+        top = np.r_[True, group[1:] != group[:-1]]
+        fresh = np.r_[True, key[1:] != key[:-1]]
+        rank[todo] = group + np.maximum.accumulate(np.where(fresh, k, 0)) - np.maximum.accumulate(np.where(top, k, 0))
+        todo = todo[~(fresh & np.r_[fresh[1:], True])]
+        h *= 2
+    order[rank] = np.arange(n)
+    return order
+
+
+def array_order(t: np.ndarray) -> np.ndarray:
+    """Suffix array of t by induced sorting over arrays in memory. t: unsigned numbers of at most 16 bits, its last one the least and unique."""
+    n = len(t)
+    if n == 1:
+        return np.zeros(1, np.int32)
+    ends = np.flatnonzero(t[:-1] != t[1:])
+    size = np.diff(np.r_[-1, ends])
+    falls = np.r_[np.repeat(t[ends] > t[ends + 1], size), False]
+    left = (np.arange(n - 1) - np.repeat(ends + 1 - size, size)).astype(np.int32)
+    left = np.r_[left, np.int32(0)]
+    stars = np.flatnonzero(falls[:-1] & ~falls[1:]).astype(np.int32) + np.int32(1)
+    if len(stars) > 1:
+        starred = np.zeros(n, bool)
+        starred[stars] = True
+        order = _induced(t, stars[np.argsort(t[stars], kind="stable")], falls, left)
+        order = order[starred[order]]
+        # substrings end at the next S* place; the end's own is itself
+        length = np.zeros(n, np.int32)
+        length[stars] = np.r_[np.diff(stars) + 1, 1]
+        a, b = order[:-1], order[1:]
+        same = length[a] == length[b]
+        same[same] = _alike(t, a[same], b[same], length[a[same]])
+        if same.any():
+            names = np.empty(n, np.int32)
+            names[order] = np.r_[0, np.cumsum(~same)]
+            order = stars[_doubled(names[stars].astype(np.int64))]
+        stars = order
+    return _induced(t, stars, falls, left)
+
+
+def _array_runs(text: bytes, t: np.ndarray, inside: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As _runs, of the suffixes inside alone, from a sort in memory."""
+    sa = array_order(t)
+    sa = sa[inside[sa]]
+    wide = min(8, 1 << (window.bit_length() - 1))
+    raw = np.frombuffer(text + bytes(wide), np.uint8)
+    units = np.ndarray((len(text),), f"u{wide}", raw, strides=(1,)).copy()
+    a, b = sa[:-1], sa[1:]
+    on = np.arange(len(a))
+    # the last ones first: they differ soonest
+    for d in sorted({*range(0, window - wide + 1, wide), window - wide}, reverse=True):
+        on = on[units[a[on] + d] == units[b[on] + d]]
+    fresh = np.ones(len(sa), bool)
+    fresh[on + 1] = False
+    yield sa, np.cumsum(fresh)
+
+
 def earlier_starts(contents: list[bytes], docs: list[int], starts: list[int], u: Units) -> list[np.ndarray]:
     """For each segment, which of its windows stand at an earlier (document, start). Segments come in that order."""
     text = b"\1".join(contents) + b"\1\0"
     # bytes 0 and 1 of the text must not meet the marks
-    if any(b"\0" in c or b"\1" in c for c in contents):
-        units = array("H")
-        for c in contents:
-            units.extend(x + 2 for x in c)
-            units.append(1)
-        units.append(0)
-    else:
-        units = text
-    order, common = suffix_order(units)
+    marked = any(b"\0" in c or b"\1" in c for c in contents)
     base = np.r_[0, np.cumsum([len(c) + 1 for c in contents])]
     sizes = np.diff(base) - 1
-    hit = [np.zeros(max(0, k - u.window + 1), bool) for k in sizes.tolist()]
+    if len(text) <= IN_MEMORY:
+        t = np.frombuffer(text, np.uint8)
+        if marked:
+            t = t.astype(np.uint16) + np.uint16(2)
+            t[base[1:] - 1], t[-1] = 1, 0
+        edge = np.zeros(len(text) + 1, np.int8)
+        wide = sizes >= u.window
+        edge[base[:-1][wide]] = 1
+        edge[(base[:-1] + sizes - u.window + 1)[wide]] -= 1
+        found = _array_runs(text, t, np.cumsum(edge[:-1], dtype=np.int8).view(bool), u.window)
+    else:
+        if marked:
+            units = array("H")
+            for c in contents:
+                units.extend(x + 2 for x in c)
+                units.append(1)
+            units.append(0)
+        else:
+            units = text
+        found = _runs(*suffix_order(units), u.window)
+    hit = np.zeros(len(text), bool)
     doc_of, start_of = np.asarray(docs, np.int64), np.asarray(starts, np.int64)
-    for sa, run in _runs(order, common, u.window):
+    for sa, run in found:
+        several = np.r_[False, run[1:] == run[:-1]]
+        several[:-1] |= several[1:]
+        sa, run = sa[several], run[several]
         seg = np.minimum(np.searchsorted(base, sa, side="right") - 1, len(contents) - 1)
         off = sa - base[seg]
         inside = off + u.window <= sizes[seg]
-        run, seg, off = run[inside], seg[inside], off[inside]
+        sa, run, seg, off = sa[inside], run[inside], seg[inside], off[inside]
         if not len(run):
             continue
         rank = np.lexsort((start_of[seg] + off, doc_of[seg], run))
         first = np.r_[True, run[rank][1:] != run[rank][:-1]]
-        for i in rank[~first].tolist():
-            hit[seg[i]][off[i]] = True
-    return hit
+        hit[sa[rank[~first]]] = True
+    return [hit[a : a + max(0, k - u.window + 1)] for a, k in zip(base.tolist(), sizes.tolist(), strict=False)]
 
 
 def _runs(order: Column, common: Column, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -2,9 +2,12 @@
 
 import math
 import random
+import time
 import tracemalloc
 
-from mendframe.llm import induced, toxicity
+import numpy as np
+
+from mendframe.llm import induced, repeats, toxicity
 
 
 def prose(n, seed):
@@ -48,6 +51,74 @@ def test_runs_are_read_in_pieces(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, pieces, strict=True)) and any(a.any() for a in whole)
 
 
+def test_array_order_against_sorting():
+    """Few and many units, long runs of one unit, and texts that repeat as a whole."""
+    rng = random.Random(9)
+    for trial in range(300):
+        t = [rng.randrange(1, rng.choice([1, 2, 3, 26, 250]) + 1) for _ in range(rng.randrange(0, 120))]
+        if trial % 3 == 0:
+            t = [x for x in t for _ in range(rng.choice([1, 2, 9]))]
+        if trial % 5 == 0:
+            t *= 4
+        t.append(0)
+        got = induced.array_order(np.array(t, rng.choice([np.uint8, np.uint16])))
+        assert got.tolist() == sorted(range(len(t)), key=lambda i: t[i:]), trial
+
+
+def test_both_sorts_find_the_same_windows(monkeypatch):
+    rng = random.Random(10)
+    for trial in range(12):
+        base = bytes(rng.choice(b"abcdef \0\1" if trial % 2 else b"abcdef") for _ in range(500))
+        contents = [base[(a := rng.randrange(200)) : a + rng.randrange(200)] for _ in range(40)] + [b"a" * k for k in range(1, 150, 9)]
+        docs, starts = [k // 3 for k in range(len(contents))], [k % 3 * 1000 for k in range(len(contents))]
+        for window in (1, 9, 50):
+            u = induced.byte_units(window)
+            arrays = induced.earlier_starts(contents, docs, starts, u)
+            with monkeypatch.context() as m:
+                m.setattr(induced, "IN_MEMORY", 0)
+                m.setattr(induced, "CHUNK", 7 if trial % 3 else induced.CHUNK)
+                external = induced.earlier_starts(contents, docs, starts, u)
+            assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, external, strict=True)) and any(a.any() for a in arrays)
+
+
+def test_a_shard_that_fits_memory_is_sorted_by_arrays(monkeypatch):
+    """At least four times as fast as the external sort, on prose and on long runs of one byte."""
+    for contents in ([prose(170, k)[:-1] for k in range(400)], [b"a" * 160] * 400):
+        took = []
+        for limit in (induced.IN_MEMORY, 0):
+            monkeypatch.setattr(induced, "IN_MEMORY", limit)
+            began = time.process_time()
+            induced.earlier_starts(contents, list(range(400)), [0] * 400, induced.byte_units())
+            took.append(time.process_time() - began)
+        monkeypatch.undo()
+        assert 4 * took[0] < took[1]
+
+
+def test_ranges_are_joined_and_hot_windows_found(spark, monkeypatch):
+    """Whether anchors are hot or not: the bytes that brute force removes, in ranges that don't touch."""
+    rng = random.Random(11)
+    passages = [prose(500, k)[:-1].decode() for k in range(5)]
+    texts = [None, "", "a" * 250]
+    for _ in range(60):
+        cuts = [(p, rng.randrange(250)) for p in rng.choices(passages, k=rng.randrange(1, 4))]
+        texts.append("é".join(p[a : a + rng.randrange(60, 250)] for p, a in cuts) if rng.random() < 0.8 else texts[-1])
+    seen, want = set(), {}
+    for i, x in enumerate(texts):
+        raw, hit = (x or "").encode(), set()
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                hit.update(range(k, k + 100))
+            seen.add(raw[k : k + 100])
+        want[i] = hit
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot, rows in ((repeats.HOT, repeats.SLICE_ROWS), (1, 50)):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(repeats, "SLICE_ROWS", rows)
+        got = {r.doc_id: [(x.a, x.b + 99) for x in r.ranges] for r in induced.repeated_bytes(docs).collect()}
+        assert {i: {k for a, b in r for k in range(a, b)} for i, r in got.items()} == {i: hit for i, hit in want.items() if hit}
+        assert all(x[1] < y[0] for r in got.values() for x, y in zip(r, r[1:], strict=False))
+
+
 def test_score_against_plain_python(spark):
     """Every term looked for at every place."""
     rng = random.Random(8)
