@@ -6,6 +6,7 @@ not apply, so that ``coalesce(repair(v), v)`` is the repaired cell.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -29,6 +30,22 @@ def _any(c: Column, markers: tuple[str, ...]) -> Column:
     return reduce(or_, (c.contains(F.lit(m)) for m in markers))
 
 
+def _whole(body: str, flags: str = "") -> str:
+    """A pattern of cells that are as body says, white space at both ends aside; it reads a cell once, where strip() copies it."""
+    return rf"{flags}^[{V.SPACE_FAST}]*+(?:{body})[{V.SPACE_FAST}]*+$"
+
+
+#: Fixed values of the values module as patterns for whole cells.
+_PLAIN = _whole(V.PLAIN_NUMBER.removeprefix("^").removesuffix("$"))
+_FORMATTED = V.fast(V.FORMATTED_NUMBER)
+_EXCEL = _whole(V.EXCEL_DATE.removeprefix("(?i)^").removesuffix("$"), "(?i)")
+_NULLS = "|".join(re.sub(r"([^\w/])", r"\\\1", x) for x in V.NULL_LIKE)
+_NULL = _whole(_NULLS)
+_GENE = _whole(rf"[0-9]{{1,2}}-(?:{'|'.join(sorted({x.split('-')[1] for x in V.GENES}))})")
+#: What any repair needs: a comma, the first letter of a marker, a null word or a date.
+_TOUCHED = f"{_whole(rf'{_NULLS}|[0-9]{{1,2}}-[A-Z][a-z]{{2}}')}|[,{''.join(sorted({m[0] for m in V.REPAIR_MARKERS}))}]"
+
+
 def has_mojibake(c: Column) -> Column:
     """Holds one of the 26 markers. The cheap test of four beginnings goes first."""
     pattern = "|".join(V.MOJIBAKE_MARKERS)
@@ -40,12 +57,12 @@ def has_stream_mojibake(c: Column) -> Column:
 
 
 def is_plain_number(c: Column) -> Column:
-    return strip(c).rlike(V.PLAIN_NUMBER)
+    return c.rlike(_PLAIN)
 
 
 def is_formatted_number(c: Column) -> Column:
     """A number that carries display formatting: currency, thousands, parentheses or per cent."""
-    return c.rlike(V.FORMATTED_NUMBER)
+    return c.rlike(_FORMATTED)
 
 
 def is_null_like(c: Column) -> Column:
@@ -54,8 +71,7 @@ def is_null_like(c: Column) -> Column:
 
 
 def is_excel_date(c: Column) -> Column:
-    s = strip(c)
-    return F.length(s).between(5, 6) & s.rlike(V.EXCEL_DATE)
+    return c.rlike(_EXCEL)
 
 
 def is_digits(c: Column) -> Column:
@@ -63,7 +79,7 @@ def is_digits(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return strip(c) == ""
+    return ~c.rlike(f"[^{V.SPACE_FAST}]")
 
 
 def control_count(c: Column) -> Column:
@@ -87,9 +103,9 @@ def shape(c: Column, keep_length: bool = False) -> Column:
             .when(upper(first), F.concat(F.lit("A"), F.repeat(F.lit("a"), F.least(n - 1, F.lit(3)))))
             .otherwise(F.repeat(F.lit("a"), F.least(n, F.lit(4))))
         )
-        return F.when(p.rlike(r"^\p{Nd}"), digits).when(p.rlike(r"^\p{L}"), letters).when(p.rlike(f"^[{V.SPACE_CLASS}]"), " ").otherwise(p)
+        return F.when(p.rlike(r"^\p{Nd}"), digits).when(p.rlike(r"^\p{L}"), letters).when(p.rlike(f"^[{V.SPACE_FAST}]"), " ").otherwise(p)
 
-    parts = F.regexp_extract_all(strip(c), F.lit(rf"(?s)(\p{{Nd}}+|\p{{L}}+|[{V.SPACE_CLASS}]+|.)"), F.lit(1))
+    parts = F.regexp_extract_all(strip(c), F.lit(rf"(?s)(\p{{Nd}}+|\p{{L}}+|[{V.SPACE_FAST}]+|.)"), F.lit(1))
     return F.array_join(F.transform(parts, part), "")
 
 
@@ -98,26 +114,30 @@ def shape(c: Column, keep_length: bool = False) -> Column:
 
 def fix_mojibake(c: Column) -> Column:
     """Latin-1 text that was UTF-8, read again; only if it decodes and no marker is left."""
-    latin = F.when(_any(c, V.REPAIR_MARKERS) & c.rlike(r"^[\x{00}-\x{FF}]*$"), c)
+    marked = _any(c, V.REPAIR_MARKERS)
+    latin = F.when(marked & ~c.rlike(r"[^\x{00}-\x{FF}]"), c)
     fixed = F.try_validate_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
-    return F.when((fixed != c) & ~_any(fixed, V.REPAIR_MARKERS), fixed)
+    return F.when(marked, F.when((fixed != c) & ~fixed.rlike("|".join(V.REPAIR_MARKERS)), fixed))
 
 
 def fix_numeric_text(c: Column) -> Column:
     """A plain number without its thousands commas; still a string, so no digit is lost."""
-    s = strip(c)
-    return F.when(s.contains(",") & s.rlike(V.PLAIN_NUMBER), F.replace(s, F.lit(","), F.lit("")))
+    return F.when(c.contains(",") & is_plain_number(c), F.replace(strip(c), F.lit(","), F.lit("")))
 
 
 def fix_null_string(c: Column) -> Column:
-    return F.when(strip(c).isin(*V.NULL_LIKE), F.lit(""))
+    return F.when(c.rlike(_NULL), F.lit(""))
 
 
 def restore_gene(c: Column) -> Column:
     """The gene symbol that a spreadsheet read as a date; exact spelling only."""
     table = F.create_map(*(F.lit(x) for kv in V.GENES.items() for x in kv))
-    s = strip(c)
-    return F.when(F.length(s).between(5, 6), F.element_at(table, s))
+    return F.when(c.rlike(_GENE), F.element_at(table, strip(c)))
+
+
+def may_change(c: Column) -> Column:
+    """Whether any of the repairs, gene symbols included, can apply; most cells need no more than this test."""
+    return c.rlike(_TOUCHED)
 
 
 def pad_digits(c: Column, width: Column) -> Column:

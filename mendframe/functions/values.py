@@ -6,6 +6,14 @@ from __future__ import annotations
 SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 #: The same as the inside of a character class that Java and RE2 read alike.
 SPACE_CLASS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same for Java alone: low characters by a table, high ones behind one test. Java asks each range of a plain class in turn, at up to 16 times the time.
+SPACE_FAST = "".join(rf"\x{{{ord(x):02x}}}" for x in SPACE if x < "\xff") + r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+
+
+def fast(pattern: str) -> str:
+    """A pattern with the class of white space as Java reads it fastest."""
+    return pattern.replace(SPACE_CLASS, SPACE_FAST)
+
 
 # UTF-8 read as Latin-1 or Windows-1252.
 MOJIBAKE_MARKERS = (

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,13 +33,17 @@ def cells(df: DataFrame, columns: list[str], order_by: str | None = None) -> Dat
     return df.select(key.alias("row_key"), F.explode(packed).alias("c")).select("row_key", "c.col_idx", "c.column", "c.v")
 
 
-def field_cells(rows: DataFrame, header: list[str], order_by: str | None = None) -> DataFrame:
-    """As cells(), from rows with an array ``fields``: short rows are padded, fields beyond the header left out."""
+def field_cells(rows: DataFrame, header: list[str], order_by: str | None = None, of_null: bool = True) -> DataFrame:
+    """As cells(), from rows with an array ``fields``: short rows are padded, fields beyond the header left out. of_null False: rows without fields give no cells.
+
+    An inner explode would make Spark test the array below it first, and so work out every field twice.
+    """
     key = F.col(order_by) if order_by else F.lit(None).cast("long")
     names = F.array(*(F.lit(h) for h in header))
     idx = F.sequence(F.lit(0), F.lit(len(header) - 1))
     packed = F.transform(idx, lambda i: F.struct(i.alias("col_idx"), F.get(names, i).alias("column"), F.coalesce(F.get(F.col("fields"), i), F.lit("")).alias("v")))
-    return rows.select(key.alias("row_key"), F.explode(packed).alias("c")).select("row_key", "c.col_idx", "c.column", "c.v")
+    packed = packed if of_null else F.when(F.col("fields").isNotNull(), packed)
+    return rows.select(key.alias("row_key"), F.explode_outer(packed).alias("c")).where("c is not null").select("row_key", "c.col_idx", "c.column", "c.v")
 
 
 def column_metrics(long: DataFrame) -> DataFrame:
@@ -147,10 +152,16 @@ def samples(long: DataFrame, wanted: list[tuple[int, str]], longest: dict[int, i
 
 def audit_cells(long: DataFrame, own_thresholds: dict[str, float] | None = None, with_samples: bool = True) -> DataFrame:
     """A row per column: subject, col_idx, column, units, judged, findings, severity, confidence."""
+    return audited(long, own_thresholds, with_samples)[0]
+
+
+def audited(long: DataFrame, own_thresholds: dict[str, float] | None = None, with_samples: bool = True, narrowed: Callable[[list[int]], DataFrame] | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """As audit_cells(), and the longest length of columns that may be cut. narrowed gives the cells of some columns alone, if these are cheaper to make."""
     spark, t = long.sparkSession, thresholds(own_thresholds)
     metrics = column_metrics(long).collect()  # one row per column
     longest = {r.col_idx: r.longest for r in metrics if r.longest in V.LENGTH_LIMITS and r.n >= t["min_rows"]}
-    cut = {r.col_idx: r for r in at_longest(long, longest).collect()} if longest else {}
+    few = narrowed(sorted(longest)) if narrowed and longest else long
+    cut = {r.col_idx: r for r in at_longest(few, longest).collect()} if longest else {}
     rows = [(*r, cut[r.col_idx].at if r.col_idx in cut else None, cut[r.col_idx].different if r.col_idx in cut else None) for r in sorted(metrics, key=lambda r: r.col_idx)]
     base = spark.createDataFrame(rows, _METRICS + ", at long, different long").withColumn("findings", column_findings(t))
     if with_samples:
@@ -161,7 +172,7 @@ def audit_cells(long: DataFrame, own_thresholds: dict[str, float] | None = None,
             seen = F.create_map(*(x for i, mode, s in entries for x in (F.lit(f"{i}:{mode}"), F.array(*(F.lit(v) for v in s)))))
             base = base.withColumn("findings", F.transform("findings", lambda f: f.withField("samples", F.coalesce(F.element_at(seen, F.concat(F.col("col_idx").cast("string"), F.lit(":"), f["mode"])), f["samples"]))))
     audits = base.select(F.concat(F.lit("column "), F.col("column")).alias("subject"), "col_idx", "column", F.col("n").alias("units"), (F.col("n") >= t["min_rows"]).alias("judged"), "findings")
-    return M.scored(audits)
+    return M.scored(audits), longest
 
 
 def audit_columns(df: DataFrame, columns: list[str] | None = None, order_by: str | None = None, thresholds: dict[str, float] | None = None, with_samples: bool = True) -> DataFrame:

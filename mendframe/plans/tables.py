@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workers import dealt
+
 #: Integer division differs between the two dialects.
 _DIV = {"spark": "div", "duckdb": "//"}
 
@@ -34,7 +36,7 @@ VENDOR = ["name", "revenue", "gene", "status", "zip_code", "notes", "joined", "s
 
 
 def vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr(*(f"{e} AS {c}" for c, e in vendor_columns("spark").items()))
+    return dealt(table(spark, sf_dir, "customer"), "c_custkey").selectExpr(*(f"{e} AS {c}" for c, e in vendor_columns("spark").items()))
 
 
 def vendor_sql() -> str:
@@ -46,7 +48,7 @@ RAGGED = "CASE WHEN p_partkey % 100 = 0 THEN {a}p_name, p_brand, p_type, 'extra'
 
 
 def ragged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("p_partkey AS row_id", RAGGED.format(a="array(", b=")") + " AS fields")
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").selectExpr("p_partkey AS row_id", RAGGED.format(a="array(", b=")") + " AS fields")
 
 
 RAGGED_SQL = f"SELECT p_partkey AS row_id, {RAGGED.format(a='[', b=']')} AS fields FROM part"
