@@ -1,11 +1,14 @@
 """What keeps cost in proportion to the input: rows dealt to all cores, work done once, patterns that read a text once."""
 
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from mendframe.functions import cells as C
+from mendframe.functions import texts as T
 from mendframe.functions import values as V
 from mendframe.plans import tables as D
 from mendframe.plans.solve import solve_rows
@@ -58,3 +61,15 @@ def test_solve_repairs_once(spark, part):
     assert {r["mode"]: r.affected for r in s.actions().collect()} == {"null_as_string": 57, "ragged_rows": 3, "truncation": 57}
     assert plan(getattr(s, part)).count("try_validate_utf8") + plan(getattr(s, part)).count("tryValidateUtf8") <= 3  # as often as the one repair names it
     assert plan(s.actions()).count("Union") == 0
+
+
+def test_tokens_with_digits_are_counted_in_one_reading(spark):
+    rng = random.Random(5)
+    alphabet = "ab1٣ß­\x00\x07\x85\xa0  　​\x1c \n\t(-'é\U0001d7d8𐐀"
+    items = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(300)] + ["", "x" * 300_000]
+    got = apply(spark, items, tokens=T.token_count, digits=lambda c: F.regexp_count(c, F.lit(T.DIGIT_TOKEN)), bad=lambda c: F.regexp_count(c, F.lit(V.UNDECODED_FAST)), old=lambda c: F.regexp_count(c, F.lit(V.UNDECODED)))
+    for x, r in zip(items, got, strict=True):
+        tokens = x.translate({ord(s): " " for s in V.SPACE}).split(" ")
+        assert r.tokens == sum(map(bool, tokens)) and r.digits == sum(any(unicodedata.category(c) == "Nd" for c in t) for t in tokens) and r.bad == r.old, repr(x)
+    # a token without a digit was read again from each of its letters
+    assert not re.search(r"\*\\p\{Nd\}", T.DIGIT_TOKEN) and T.DIGIT_TOKEN.endswith("*+")
