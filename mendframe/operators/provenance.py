@@ -15,6 +15,9 @@ from ..functions import cells as C
 from ..functions import values as V
 from . import repair as R
 
+#: Of a CSV file. Values may hold line breaks, so that a file is read by one task; it grows with no table.
+ROWS_PER_FILE = 100_000
+
 
 def _rank():
     return F.when(F.col("action") == "unrepairable", 0).when(F.col("action") == "flagged", 1).otherwise(2)
@@ -96,8 +99,8 @@ def provenance_records(ann: Annotated) -> DataFrame:
 
 def write_csv(ann: Annotated, path: str, inline: bool = False) -> tuple[str, str]:
     """The table and its notes as two folders of CSV files: path and path.provenance."""
-    (with_originals(ann) if inline else ann.rows).write.mode("overwrite").option("header", True).csv(path)
-    ann.notes.write.mode("overwrite").option("header", True).csv(f"{path}.provenance")
+    for df, folder in ((with_originals(ann) if inline else ann.rows, path), (ann.notes, f"{path}.provenance")):
+        df.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", ROWS_PER_FILE).csv(folder)
     return path, f"{path}.provenance"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mendframe.functions import cells as C
 from mendframe.functions import texts as T
 from mendframe.functions import values as V
+from mendframe.operators import learning, provenance, tabular
 from mendframe.plans import tables as D
 from mendframe.plans.solve import solve_rows
 
@@ -73,3 +74,25 @@ def test_tokens_with_digits_are_counted_in_one_reading(spark):
         assert r.tokens == sum(map(bool, tokens)) and r.digits == sum(any(unicodedata.category(c) == "Nd" for c in t) for t in tokens) and r.bad == r.old, repr(x)
     # a token without a digit was read again from each of its letters
     assert not re.search(r"\*\\p\{Nd\}", T.DIGIT_TOKEN) and T.DIGIT_TOKEN.endswith("*+")
+
+
+def test_notes_go_to_files_of_bounded_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(provenance, "ROWS_PER_FILE", 20)
+    own = spark.range(150).coalesce(1).selectExpr("id AS row_key", "'N/A' AS status", "concat('line', chr(10), id) AS other")
+    ann = provenance.annotate(own, tabular.audit_columns(own, ["status", "other"], with_samples=False), "row_key")
+    for path, n in zip(provenance.write_csv(ann, f"{tmp_path}/t"), (150, 150), strict=True):
+        back = spark.read.option("header", True).option("multiLine", True).csv(path)
+        assert back.count() == n and len(back.inputFiles()) == 8
+
+
+def test_thresholds_are_learnt_from_one_reading(spark, tmp_path):
+    src = str(tmp_path / "labels")
+    spark.range(200).selectExpr("if(id % 2 = 0, 'a', 'z') AS feature", "(id % 40) / 10 AS value", "id % 40 > 30 AS bad").write.parquet(src)
+    d = {"a": 2.0, "z": 1.0}
+    own = learning.learned_thresholds(spark.read.parquet(src), d, {"a": learning.ABOVE, "z": learning.BELOW})
+    rows = {r.feature: r for r in own.collect()}
+    assert rows["a"].adopted and rows["a"].threshold == 3.2 and rows["a"].after == 1.0 and rows["z"].threshold == 3.9 and rows["z"].after == 0.5
+    # default 2.0: of 75 good ones 25 are flagged; below 1.0 of 25 bad ones none is, and 35 of 75 good ones aren't spared
+    assert rows["a"].before == pytest.approx((1 + (80 - 30) / 80) / 2) and rows["z"].before == pytest.approx((0 + (75 - 25) / 75) / 2)
+    final = own._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]  # the plan that ran
+    assert final.count("FileScan parquet") == 1 and final.count("ReusedExchange") == 2
