@@ -80,13 +80,21 @@ class TabularDetector:
         return dict.fromkeys(self.rates, ABOVE)
 
 
+def counted(labelled: DataFrame) -> DataFrame:
+    """labelled(feature, value, bad) -> (feature, value, b, g): bad and good items of each value. All that is learnt follows from these, so that features are worked out once and Spark reuses the shuffle."""
+    return labelled.groupBy("feature", "value").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
+
+
 def threshold_sweep(labelled: DataFrame, directions: dict[str, str]) -> DataFrame:
     """labelled(feature, value, bad) -> (feature, candidate, midpoint, balanced): every distinct value, and every midpoint of neighbours.
 
     An item counts as flagged at the candidate or beyond it in the feature's direction. Sorted once by feature and value; values of
     one feature are pre-counted, so its window holds distinct values only.
     """
-    values = labelled.groupBy("feature", "value").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
+    return _sweep(counted(labelled), directions)
+
+
+def _sweep(values: DataFrame, directions: dict[str, str]) -> DataFrame:
     w = Window.partitionBy("feature")
     upto = w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     rows = values.withColumns({"b_upto": F.sum("b").over(upto), "g_upto": F.sum("g").over(upto), "b_all": F.sum("b").over(w), "g_all": F.sum("g").over(w), "next": F.lead("value").over(w.orderBy("value"))})
@@ -108,11 +116,16 @@ def balanced(tp: Column, bad: Column, fp: Column, good: Column) -> Column:
 
 def baseline(labelled: DataFrame, defaults: dict[str, float], directions: dict[str, str]) -> DataFrame:
     """(feature, default, before): the balanced accuracy of each default."""
+    return _baseline(counted(labelled), defaults, directions)
+
+
+def _baseline(values: DataFrame, defaults: dict[str, float], directions: dict[str, str]) -> DataFrame:
     table = F.create_map(*(F.lit(x) for f, v in defaults.items() for x in (f, float(v))))
     below = F.col("feature").isin(*([f for f, d in directions.items() if d == BELOW] or [""]))
     flagged = F.when(below, F.col("value") <= F.col("default")).otherwise(F.col("value") >= F.col("default"))
-    own = labelled.withColumn("default", F.element_at(table, F.col("feature"))).withColumn("flagged", flagged)
-    return own.groupBy("feature", "default").agg(balanced(F.count_if(F.col("bad") & F.col("flagged")), F.count_if("bad"), F.count_if(~F.col("bad") & F.col("flagged")), F.count_if(~F.col("bad"))).alias("before"))
+    own = values.withColumn("default", F.element_at(table, F.col("feature"))).withColumn("flagged", flagged)
+    some = lambda n: F.coalesce(F.sum(F.when(F.col("flagged"), F.col(n))), F.lit(0))
+    return own.groupBy("feature", "default").agg(balanced(some("b"), F.sum("b"), some("g"), F.sum("g")).alias("before"))
 
 
 def learned_thresholds(labelled: DataFrame, defaults: dict[str, float], directions: dict[str, str]) -> DataFrame:
@@ -120,11 +133,12 @@ def learned_thresholds(labelled: DataFrame, defaults: dict[str, float], directio
 
     Of equally good cuts the first counts: values before midpoints, each from the least up. Without 40 labels, ten of each class, nothing is adopted.
     """
-    sweep = threshold_sweep(labelled, directions)
+    values = counted(labelled)
+    sweep = _sweep(values, directions)
     best = sweep.groupBy("feature").agg(F.max("balanced").alias("after"), F.min_by("candidate", F.struct((-F.col("balanced")).alias("a"), F.col("midpoint").alias("b"), F.col("candidate").alias("c"))).alias("threshold"))
-    size = labelled.groupBy("feature").agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good"))
+    size = values.groupBy("feature").agg(F.sum("b").alias("n_bad"), F.sum("g").alias("n_good"))
     enough = (F.col("n_bad") + F.col("n_good") >= V.MIN_LABELS) & (F.least("n_bad", "n_good") >= V.MIN_PER_CLASS)
-    joined = baseline(labelled, defaults, directions).join(best, "feature").join(size, "feature")
+    joined = _baseline(values, defaults, directions).join(best, "feature").join(size, "feature")
     return joined.select("feature", "default", "before", "threshold", "after", (enough & (F.col("after") >= F.col("before") + V.MIN_GAIN)).alias("adopted"))
 
 
