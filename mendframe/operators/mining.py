@@ -6,7 +6,7 @@ features themselves travel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts as T
@@ -38,38 +38,63 @@ def _gated(rows: DataFrame) -> DataFrame:
     return out.where((F.col("r") >= V.MIN_SUPPORT) & (precision >= V.MIN_PRECISION) & (lift >= V.MIN_LIFT))
 
 
-def mine_char_classes(docs: DataFrame) -> DataFrame:
-    """kind, signature, support, precision, lift of categories by mean rate per 1000 characters. docs: (text, rejected)."""
-    rates = docs.select("rejected", F.explode(T.char_classes(F.col("text"))).alias("signature", "rate"))
-    sums = rates.groupBy("signature").agg(
-        F.count_if("rejected").alias("r"),
-        F.count_if(~F.col("rejected")).alias("k"),
-        F.coalesce(F.sum(F.when(F.col("rejected"), F.col("rate"))), F.lit(0.0)).alias("r_sum"),
-        F.coalesce(F.sum(F.when(~F.col("rejected"), F.col("rate"))), F.lit(0.0)).alias("k_sum"),
-    )
-    means = sums.join(F.broadcast(totals(docs)), how="cross").withColumn("r_rate", F.col("r_sum") / F.greatest("n_r", F.lit(1))).withColumn("k_rate", F.col("k_sum") / F.greatest("n_k", F.lit(1)))  # one row broadcast
-    return _gated(means.where((F.col("n_r") >= V.MIN_SUPPORT) & (F.col("r_rate") >= 0.1))).select(F.lit("character_class").alias("kind"), "signature", "support", "precision", "lift")
+#: What texts are mined for: kind -> the features of a text as (signature, rate); the rate of what stands in a set is 1.
+CLASSES, SHAPES, MARKERS = "character_class", "token_shape", "marker_string"
+_FEATURE = "array<struct<kind:string,signature:string,rate:double>>"
+_TOTAL = "*"
+
+
+def _features(kind: str, text: Column) -> Column:
+    if kind == CLASSES:
+        return F.transform(F.map_entries(T.char_classes(text)), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("signature"), e["value"].alias("rate")))
+    found = T.token_shapes(text) if kind == SHAPES else T.markers(text)
+    return F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("signature"), F.lit(1.0).alias("rate")))
+
 
+def mine(docs: DataFrame, *kinds: str) -> DataFrame:
+    """kind, signature, support, precision, lift of all features of these kinds, in one reading of docs: (text, rejected).
 
-def _mine_sets(docs: DataFrame, kind: str, features) -> DataFrame:
-    sets = docs.select("rejected", F.explode(features).alias("signature"))
-    counts = sets.groupBy("signature").agg(F.count_if("rejected").alias("r"), F.count_if(~F.col("rejected")).alias("k"))
-    rates = counts.join(F.broadcast(totals(docs)), how="cross").withColumn("r_rate", F.col("r") / F.greatest("n_r", F.lit(1))).withColumn("k_rate", F.col("k") / F.greatest("n_k", F.lit(1)))
-    return _gated(rates.where(F.col("n_r") >= V.MIN_SUPPORT)).select(F.lit(kind).alias("kind"), "signature", "support", "precision", "lift")
+    A text counts once among the totals as a feature of its own, so that they need no further reading. Categories go by their mean rate
+    per 1000 characters, sets by the share of texts.
+    """
+    total = F.array(F.struct(F.lit(_TOTAL).alias("kind"), F.lit("").alias("signature"), F.lit(1.0).alias("rate")))
+    every = F.concat(total.cast(_FEATURE), *(F.coalesce(_features(k, F.col("text")), F.array()).cast(_FEATURE) for k in kinds))
+    of = lambda x: F.coalesce(F.sum(F.when(x, F.col("rate"))), F.lit(0.0))
+    bad = F.col("rejected")
+    sums = (
+        docs.select("rejected", F.explode_outer(every).alias("f")).select("rejected", "f.*")
+        .groupBy("kind", "signature")
+        .agg(F.count_if(bad).alias("r"), F.count_if(~bad).alias("k"), of(bad).alias("r_sum"), of(~bad).alias("k_sum"))
+    )
+    # a condition on kind would be tested below the sums, and another choice of sums be another shuffle: either would read the texts twice
+    whole = F.col("kind") == _TOTAL
+    n = sums.agg(*(F.coalesce(F.max(F.when(whole, F.greatest(F.col(x), F.col(f"{x}_sum").cast("long")))), F.lit(0)).alias(f"n_{x}") for x in "rk"))
+    rates = sums.withColumn("r", F.when(whole, 0).otherwise(F.col("r"))).join(F.broadcast(n), how="cross").withColumn("r_rate", F.col("r_sum") / F.greatest("n_r", F.lit(1))).withColumn("k_rate", F.col("k_sum") / F.greatest("n_k", F.lit(1)))  # one row broadcast
+    common = (F.col("n_r") >= V.MIN_SUPPORT) & ((F.col("kind") != CLASSES) | (F.col("r_rate") >= 0.1))
+    return _gated(rates.where(common)).select("kind", "signature", "support", "precision", "lift")
+
+
+def mine_char_classes(docs: DataFrame) -> DataFrame:
+    """kind, signature, support, precision, lift of categories by mean rate per 1000 characters. docs: (text, rejected)."""
+    return mine(docs, CLASSES)
 
 
 def mine_token_shapes(docs: DataFrame) -> DataFrame:
-    return _mine_sets(docs, "token_shape", T.token_shapes(F.col("text")))
+    return mine(docs, SHAPES)
 
 
 def mine_markers(docs: DataFrame) -> DataFrame:
-    return _mine_sets(docs, "marker_string", T.markers(F.col("text")))
+    return mine(docs, MARKERS)
 
 
 def propose_rules(rejected: DataFrame, kept: DataFrame, text: str = "text") -> DataFrame:
     """All proposals with their strength (precision x lift up to 20 x root of support), strongest first; none for under eight rejects."""
-    docs = labelled(rejected, kept, text)
-    every = mine_char_classes(docs).unionByName(mine_token_shapes(docs)).unionByName(mine_markers(docs))
+    return proposals(labelled(rejected, kept, text))
+
+
+def proposals(docs: DataFrame) -> DataFrame:
+    """As propose_rules(), from docs: (text, rejected)."""
+    every = mine(docs, CLASSES, SHAPES, MARKERS)
     names = F.create_map(*(F.lit(x) for kv in CATEGORY_NAMES.items() for x in kv))
     text_ = (
         F.when(F.col("kind") == "character_class", F.concat(F.lit("Unicode category "), "signature", F.lit(" ("), F.coalesce(F.element_at(names, F.col("signature")), F.lit("other")), F.lit(") is far commoner in rejects")))

@@ -355,8 +355,7 @@ def pipeline_quarantine(spark, sf_dir):
 @query
 def proposed_rules(spark, sf_dir):
     """All mined rules with their strength."""
-    docs = D.mined_documents(spark, sf_dir)
-    own = mining.propose_rules(docs.where("rejected"), docs.where("not rejected"))
+    own = mining.proposals(D.mined_documents(spark, sf_dir))
     return own.select("kind", "signature", "support", F.round("precision", 6).alias("precision"), F.round("lift", 4).alias("lift"), F.round("strength", 3).alias("strength"))
 
 

@@ -1,5 +1,6 @@
 """What keeps cost in proportion to the input: rows dealt to all cores, work done once, patterns that read a text once."""
 
+import collections
 import random
 import re
 import unicodedata
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from mendframe.functions import cells as C
 from mendframe.functions import texts as T
 from mendframe.functions import values as V
-from mendframe.operators import learning, provenance, tabular
+from mendframe.operators import learning, mining, provenance, tabular
 from mendframe.plans import tables as D
 from mendframe.plans.solve import solve_rows
 
@@ -96,3 +97,33 @@ def test_thresholds_are_learnt_from_one_reading(spark, tmp_path):
     assert rows["a"].before == pytest.approx((1 + (80 - 30) / 80) / 2) and rows["z"].before == pytest.approx((0 + (75 - 25) / 75) / 2)
     final = own._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]  # the plan that ran
     assert final.count("FileScan parquet") == 1 and final.count("ReusedExchange") == 2
+
+
+def test_shapes_classes_and_markers_as_by_tokens(spark):
+    rng = random.Random(7)
+    words = ["ONE", "TWO", "THREE", "ΑΒΓΔ", "ÄÖÜ", "STRASSE", "STRAßE", "ÿÿÿ", "Ÿab", "AB", "ABC1", "123", "---", "x", "é", "maма", "αbc", "βγδ", "жжжж", "word", "aaaa", "..", ">>>", "(cid:7)", "_", "½", "\U0001d400\U0001d401\U0001d402", "­", "\x07"]
+    items = [rng.choice(["", " "]) + rng.choice([" ", " ", "\n", "\x85"]).join(rng.choice(words[: rng.choice([8, 29])]) for _ in range(rng.randrange(12))) + rng.choice(["", "\n"]) for _ in range(400)]
+    space = f"[{V.SPACE_CLASS}]"
+    token = lambda c: F.regexp_extract_all(c, F.lit(f"[^{V.SPACE_CLASS}]+"), F.lit(0))
+    caps = lambda c: F.array_join(F.transform(token(c), lambda t: F.when((t == F.upper(t)) & (t != F.lower(t)) & (F.length(t) > 2), "C").otherwise(".")), "").contains("CCCC")
+    mixed = lambda c: F.exists(token(c), lambda t: sum((t.rlike(rf"[\p{{{s}}}&&\p{{L}}]").cast("int") for s in ("IsLatin", "IsCyrillic", "IsGreek")), F.lit(0)) > 1)
+    single = lambda c: F.exists(token(c), lambda t: t.rlike(r"^\p{L}$"))
+    runs = lambda c: F.regexp_extract_all(c, F.lit(rf"[^\p{{L}}\p{{N}}_{V.SPACE_CLASS}]{{2,6}}"), F.lit(0))
+    got = apply(spark, items, shapes=T.token_shapes, caps=caps, mixed=mixed, single=single, classes=T.char_classes, markers=T.markers, runs=runs, repeat=lambda c: c.rlike(rf"((?!{space}).)\1{{3,}}"))
+    for x, r in zip(items, got, strict=True):
+        assert [s in r.shapes for s in ("ALLCAPS_RUN", "MIXED_SCRIPT", "ISOLATED_LETTER", "REPEATED_CHAR")] == [r.caps, r.mixed, r.single, r.repeat], repr(x)
+        n = collections.Counter(unicodedata.category(c) for c in x)
+        assert r.classes == pytest.approx({k: v * 1000 / len(x) for k, v in n.items()}), repr(x)
+        assert set(r.runs) <= set(r.markers), repr(x)
+    assert sum(r.caps for r in got) > 20 and sum(r.mixed for r in got) > 20
+
+
+def test_rules_are_mined_in_one_reading(spark, tmp_path):
+    src = str(tmp_path / "docs")
+    spark.range(100).selectExpr("if(id % 4 = 0, concat('some text ', id, ' >>> ~~'), concat('other text ', id)) AS text", "id % 4 = 0 AS rejected").write.parquet(src)
+    docs = spark.read.parquet(src)
+    own = mining.propose_rules(docs.where("rejected"), docs.where("not rejected"))
+    assert {(r.kind, r.signature): r.support for r in own.collect()} == {("marker_string", ">>>"): 25, ("marker_string", "~~"): 25, ("character_class", "Sm"): 25}
+    own = mining.proposals(docs)
+    assert own.count() == 3 and own.collect()[0].kind in ("marker_string", "character_class")
+    assert own._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan parquet") == 1
