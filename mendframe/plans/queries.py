@@ -13,7 +13,7 @@ from ..functions import values as V
 from ..operators import conventions, crossfile, learning, mining, profiles, provenance, repair, tabular, text
 from ..operators import model as M
 from ..sources import catalog
-from ..workers import new_folder
+from ..workers import dealt, new_folder
 from . import tables as D
 from .solve import solve_rows
 
@@ -302,8 +302,8 @@ def review_queue(spark, sf_dir):
 def catalog_audit(spark, sf_dir):
     """Worst severity and number of findings of every small table."""
     out = None
-    for name in ("region", "nation", "supplier", "part", "customer"):
-        own = catalog.audit_query(catalog.as_text(D.table(spark, sf_dir, name)), name)
+    for name, key in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("customer", "c_custkey")):
+        own = catalog.audit_query(catalog.as_text(dealt(D.table(spark, sf_dir, name), key)), name)
         out = own if out is None else out.unionByName(own)
     return catalog.table_verdicts(out)
 

@@ -12,6 +12,7 @@ from mendframe.functions import cells as C
 from mendframe.functions import texts as T
 from mendframe.functions import values as V
 from mendframe.operators import learning, mining, provenance, tabular
+from mendframe.plans import queries
 from mendframe.plans import tables as D
 from mendframe.plans.solve import solve_rows
 
@@ -127,3 +128,12 @@ def test_rules_are_mined_in_one_reading(spark, tmp_path):
     own = mining.proposals(docs)
     assert own.count() == 3 and own.collect()[0].kind in ("marker_string", "character_class")
     assert own._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan parquet") == 1
+
+
+def test_catalogue_tables_go_to_all_cores(spark, monkeypatch):
+    seen = []
+    whole = queries.catalog.audit_query
+    monkeypatch.setattr(queries.catalog, "audit_query", lambda df, name, **k: seen.append(df.rdd.getNumPartitions()) or whole(df, name, **k))
+    own = queries.catalog_audit(spark, SF)
+    assert sorted(own.columns) == ["findings", "severity", "table"]
+    assert len(seen) == 5 and min(seen) >= spark.sparkContext.defaultParallelism
